@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 
 #: Distinct words kept encoded in a worker; beyond it the memory starts anew.
 MEMORY_WORDS = 400_000
+#: Characters of the texts handled at once; a longer single text makes a slice of its own.
+SLICE_CHARS = 1 << 20
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -168,13 +170,24 @@ class WordBpe:
             if w[0] == " ":
                 self.memory[w] = (str(self.special[w[1:]]), w[1:])
 
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """Per text (decimal ids joined by a blank, decoded text); the file has no decoder, so tokens are joined by a blank."""
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j]) <= SLICE_CHARS):
+                size += len(texts[j])
+                j += 1
+            words = [self.words(t) for t in texts[i:j]]
+            self.learn(set().union(*words))
+            memory = self.memory
+            for row in words:
+                found = [memory[w] for w in row]
+                yield " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
+            i = j
+
     def encode(self, text: str) -> tuple[str, str]:
-        """(decimal ids joined by a blank, decoded text); the file has no decoder, so tokens are joined by a blank."""
-        words = self.words(text)
-        self.learn(set(words))
-        memory = self.memory
-        found = [memory[w] for w in words]
-        return " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
+        return next(self.encode_all([text]))
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -193,8 +206,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         bpe = tokenizer(path)
         for batch in batches:
             rows = []
-            for text in batch[text_col]:
-                ids, decoded = bpe.encode(text or "")
+            for ids, decoded in bpe.encode_all([t or "" for t in batch[text_col]]):
                 rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, id_col, batch[id_col].to_numpy())
