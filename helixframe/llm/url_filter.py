@@ -7,7 +7,6 @@ Null URLs and URLs without :// have empty host and path and are judged by the me
 
 from __future__ import annotations
 
-import json
 import math
 import zlib
 from functools import lru_cache
@@ -68,12 +67,14 @@ def rule_of(host: Column, path: Column) -> Column:
 
 def block_score(host: Column, path: Column) -> Column:
     """Probability that the method blocks. The weights are summed as whole millionths, so that order does not matter."""
-    w = F.from_json(F.lit(json.dumps([round(x * 1_000_000) for x in weights()])), "array<bigint>")
+    # one binary literal of fixed-width decimals: a lookup is a constant-time substr
+    w = F.lit(bytearray("".join(f"{round(x * 1_000_000):10d}" for x in weights()[:BUCKETS]).encode()))
+    weight = lambda g: F.substr(w, (F.crc32(F.encode(g, "utf-8")) % BUCKETS * 10 + 1).cast("int"), F.lit(10)).cast("string").cast("long")
     chars = F.split(F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$")), "")
     chars = F.filter(chars, lambda c: c != "")
     gram = F.transform(F.arrays_zip(chars.alias("a"), F.slice(chars, F.lit(2), F.size(chars)).alias("b"), F.slice(chars, F.lit(3), F.size(chars)).alias("c")),
-                       lambda z: F.concat(z["0"], z["1"], z["2"]))
-    total = F.aggregate(gram, F.lit(0).cast("long"), lambda acc, g: acc + F.when(g.isNull(), F.lit(0).cast("long")).otherwise(F.get(w, (F.crc32(F.encode(g, "utf-8")) % BUCKETS).cast("int"))))
+                       lambda z: F.concat(z["a"], z["b"], z["c"]))
+    total = F.aggregate(gram, F.lit(0).cast("long"), lambda acc, g: acc + F.when(g.isNull(), F.lit(0).cast("long")).otherwise(weight(g)))
     return 1 / (1 + F.exp(-(F.lit(weights()[BUCKETS]) + total / 8_000_000)))
 
 
