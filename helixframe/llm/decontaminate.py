@@ -9,8 +9,6 @@ Null texts have no words. Only DataFrame functions are used.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,18 +43,19 @@ def hit_rows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item
     """(documents with key and words, verified occurrences: key, start, size, item)."""
     spark = docs.sparkSession
     windows = written(item_windows(items, item_id, item_text), "windows")
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), words_of(F.col(text_col)).alias("w"))
+    # written, so that no later lambda evaluates the splitting again for each position
+    base = written(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), words_of(F.col(text_col)).alias("w")), "words")
     hits = None
     for (k,) in windows.select("k").distinct().orderBy("k").collect():  # at most SHINGLE rows
         of_k = windows.where(F.col("k") == k)
         tokens = of_k.select("win", F.posexplode(shingles(F.col("win"), k)).alias("off", "tok")).distinct()
         slots = tokens.select(F.pmod("tok", F.lit(BITS)).cast("int").alias("s")).distinct().collect()  # at most BITS rows
-        bits = [0] * BITS
+        bits = bytearray(BITS)
         for (s,) in slots:
             bits[s] = 1
-        table = F.from_json(F.lit(json.dumps(bits, separators=(",", ":"))), "array<tinyint>")
+        table, one = F.lit(bits), F.lit(bytearray(b"\x01"))
         marked = base.withColumn("at", F.filter(F.transform(shingles(F.col("w"), k), lambda t, i: F.struct(i.alias("i"), t.alias("t"))),
-                                                lambda z: F.get(table, F.pmod(z["t"], F.lit(BITS)).cast("int")) == 1))
+                                                lambda z: F.substr(table, F.pmod(z["t"], F.lit(BITS)).cast("int") + 1, F.lit(1)) == one))
         span = lambda z: F.struct(
             z["i"].alias("pos"), z["t"].alias("tok"), F.least(z["i"], F.lit(WINDOW - k)).alias("before"),
             F.slice(F.col("w"), F.greatest(z["i"] - (WINDOW - k), F.lit(0)) + 1, F.lit(2 * WINDOW - k)).alias("near"))
