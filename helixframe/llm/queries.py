@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, chat, decontaminate, language, near_dedup, token_counts, url_filter
+from helixframe.llm import ann, bpe, chat, decontaminate, language, near_dedup, token_counts, toxicity, url_filter
 from helixframe.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs), ["doc_id"])
@@ -49,5 +54,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_chat_format, op3_bpe, op5_language, op6_decontaminate, op7_url_filter, op8_token_counts)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held = (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out")
+    return found.select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_chat_format, op3_bpe, op4_nearest, op5_language, op6_decontaminate, op7_url_filter, op8_token_counts, op9_toxicity)}
 SQL: dict[str, str] = {}
