@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from helixframe.llm import ann, bpe, chat, decontaminate, language, near_dedup, token_counts, toxicity, url_filter
+from helixframe.llm import ann, bpe, chat, decontaminate, language, near_dedup, substring_dedup, token_counts, toxicity, url_filter
 from helixframe.llm.common import table
 
 
@@ -61,5 +61,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_chat_format, op3_bpe, op4_nearest, op5_language, op6_decontaminate, op7_url_filter, op8_token_counts, op9_toxicity)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per repeated passage: doc_id holds it again, other_doc_id held it first."""
+    return substring_dedup.passages(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id").withColumnRenamed("other_doc", "other_doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_chat_format, op3_bpe, op4_nearest, op5_language, op6_decontaminate, op7_url_filter, op8_token_counts, op9_toxicity, op10_substring_dedup)}
 SQL: dict[str, str] = {}
