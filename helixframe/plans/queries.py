@@ -1,4 +1,83 @@
-"""The engine's registered queries: name -> callable(spark, sf_dir), and the same in SQL."""
+"""The engine's registered queries: name -> callable(spark, sf_dir), and the same in SQL for a second engine.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Reference sequences are the A, C, G, T letters of documents, reads those of benchmark texts. The relational form of each
+stage is stated once; the two dialects differ in how they make rows from a range, replace by pattern and parse hex.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+K, MIN_COUNT, MAX_COUNT, RADIUS = 12, 2, 800, 10
+
+SPARK = {"positions": "explode(sequence(1, length(seq) - {k} + 1))", "strip": "regexp_replace(text, '[^ACGTacgt]', '')", "hex": "cast(conv(substr(sha1({x}), 1, 8), 16, 10) as bigint)"}
+DUCK = {"positions": "unnest(range(1, length(seq) - {k} + 2))", "strip": "regexp_replace(text, '[^ACGTacgt]', '', 'g')", "hex": "cast('0x' || substr(sha1({x}), 1, 8) as bigint)"}
+
+
+def ctes(d: dict[str, str]) -> str:
+    spots = d["positions"].format(k=K)
+    return f"""
+with ref as (select doc_id, upper({d['strip']}) as seq from documents where text is not null),
+reads as (select item_id as rid, upper({d['strip']}) as seq from benchmark where text is not null),
+strands as (select rid, 0 as rc, seq from reads union all select rid, 1, reverse(translate(seq, 'ACGT', 'TGCA')) from reads),
+ref_at as (select doc_id, seq, {spots} as pos from ref where length(seq) >= {K}),
+ref_kmers as (select doc_id, cast(pos as bigint) as pos, substr(seq, pos, {K}) as kmer from ref_at),
+read_at as (select rid, rc, seq, {spots} as pos from strands where length(seq) >= {K}),
+read_kmers as (select rid, rc, cast(pos as bigint) as pos, substr(seq, pos, {K}) as kmer from read_at),
+hist as (select kmer, count(*) as cnt from ref_kmers group by kmer having count(*) >= {MIN_COUNT}),
+kept as (select r.* from ref_kmers r left join (select kmer from hist where cnt >= {MAX_COUNT}) f on r.kmer = f.kmer where f.kmer is null),
+uref as (select doc_id, kmer, min(pos) as pos from kept group by doc_id, kmer having count(*) = 1),
+uread as (select rid, rc, kmer, min(pos) as pos from read_kmers group by rid, rc, kmer having count(*) = 1),
+matches as (select r.rid, r.rc, c.doc_id, r.pos as rpos, c.pos as cpos, c.pos - r.pos as diag from uread r join uref c on r.kmer = c.kmer),
+votes as (select rid, rc, doc_id, diag, count(*) as votes from matches group by rid, rc, doc_id, diag),
+peaks as (select rid, rc, doc_id, diag, sum(votes) over (partition by rid, rc, doc_id order by diag range between {RADIUS} preceding and {RADIUS} following) as score from votes),
+ranked as (select p.*, row_number() over (partition by rid order by score desc, rc, doc_id, diag) as rk from peaks p),
+best as (select rid, rc, doc_id, diag, score from ranked where rk = 1),
+second as (select p.rid, max(p.score) as score from peaks p join best b on p.rid = b.rid where p.rc <> b.rc or p.doc_id <> b.doc_id or abs(p.diag - b.diag) > 50 group by p.rid),
+mean_top as (select floor(avg(score)) as m from best where score > 0)
+"""
+
+
+def bodies(d: dict[str, str]) -> dict[str, str]:
+    x = d["hex"].format(x="kmer")
+    coefficients = (2654435761, 2246822519, 3266489917, 668265263)
+    sketch = ", ".join(f"min(({a % (1 << 31)} * x) % 4294967296) as h{i}" for i, a in enumerate(coefficients))
+    count = lambda b: f"length(seq) - length(replace(seq, '{b}', '')) as n_{b.lower()}"
+    return {
+        "reverse_complement": "select rid, seq as rc_seq from strands where rc = 1",
+        "base_counts": f"select doc_id, length(seq) as len, {', '.join(map(count, 'ACGT'))} from ref",
+        "kmer_histogram": "select kmer, cnt from hist",
+        "count_of_counts": "select least(cnt, 999999) as cnt, count(*) as n from hist group by least(cnt, 999999)",
+        "frequent_kmer_filter": "select doc_id, count(*) as n_kept from kept group by doc_id",
+        "next_occurrence": "select doc_id, pos, coalesce(case when d <= 65535 then d end, 0) as next_dist from (select doc_id, pos, lead(pos) over (partition by doc_id, kmer order by pos) - pos as d from ref_kmers) t",
+        "repeat_mask": "select rid, rc, pos, count(*) over (partition by rid, rc, kmer) > 1 as masked from read_kmers",
+        "read_minhash": f"select rid, rc, {sketch} from (select rid, rc, {x} as x from read_kmers) t group by rid, rc",
+        "keyed_ciphers": f"select rid, rc, pos, ({x} * 40503) % 4294967296 as cipher from read_kmers",
+        "unique_matches": "select rid, rc, doc_id, rpos, cpos from matches",
+        "diagonal_votes": "select rid, rc, doc_id, diag, votes from votes",
+        "vote_convolution": "select rid, rc, doc_id, diag, cast(score as bigint) as score from peaks",
+        "candidate_contigs": f"""select rid, rc, doc_id, min(cpos) as start_pos, max(cpos) + {K} - min(cpos) as len, count(*) as hits from (
+            select m.*, sum(fresh) over (partition by rid, rc, doc_id order by cpos, rpos rows unbounded preceding) as island from (
+            select rid, rc, doc_id, rpos, cpos, case when cpos - lag(cpos) over (partition by rid, rc, doc_id order by cpos, rpos) <= 150 then 0 else 1 end as fresh from matches) m) t
+            group by rid, rc, doc_id, island""",
+        "alignments": """select b.rid, b.rc, b.doc_id, b.diag + 1 as ref_start, cast(b.score as bigint) as votes, cast(coalesce(s.score, 0) as bigint) as second_votes,
+            case when b.score > coalesce(s.score, 0) then cast(floor(floor(50.0 * (b.score - coalesce(s.score, 0)) / b.score) * b.score / t.m) as bigint) else 0 end as mapq
+            from best b left join second s on b.rid = s.rid cross join mean_top t""",
+        "communication_size": "select count(*) as n_tasks, cast(sum(8 * n) as bigint) as n_bytes from (select rid, rc, count(*) as n from read_kmers group by rid, rc) t",
+    }
+
+
+def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = ctes(SPARK) + bodies(SPARK)[name]
+        tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")}
+        return spark.sql(text.replace("from documents", "from {documents}").replace("from benchmark", "from {benchmark}"), **tables)
+
+    run.__name__ = name
+    return run
+
+
+QUERIES = {name: query(name) for name in bodies(SPARK)}
+SQL = {name: ctes(DUCK) + body for name, body in bodies(DUCK).items()}
