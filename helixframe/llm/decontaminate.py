@@ -17,7 +17,7 @@ from helixframe.llm.common import small_side, written
 
 WINDOW, SHINGLE = 10, 3
 #: Positions are first looked up in a table of this many bits; a fixed size, however large the benchmark is.
-BITS = 1 << 16
+BITS = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -59,7 +59,8 @@ def hit_rows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item
         span = lambda z: F.struct(
             z["i"].alias("pos"), z["t"].alias("tok"), F.least(z["i"], F.lit(WINDOW - k)).alias("before"),
             F.slice(F.col("w"), F.greatest(z["i"] - (WINDOW - k), F.lit(0)) + 1, F.lit(2 * WINDOW - k)).alias("near"))
-        spots = written(marked.where(F.size("at") > 0).select("id", "h", F.explode(F.transform("at", span)).alias("z")).select("id", "h", "z.*"), "spots")
+        spots = written(marked.select("id", "h", F.explode_outer(F.transform("at", span)).alias("z")).where("z is not null").select("id", "h", "z.*"), "spots")
+        # the outer form keeps the optimizer from evaluating the array once more to filter empty ones
         # rarity: occurrences in the corpus; tokens that occur nowhere rule their windows out
         seen = spots.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
         ranked = tokens.join(small_side(tokens.select("tok").distinct().join(seen, "tok", "left"), 24), "tok")
