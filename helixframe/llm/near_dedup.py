@@ -3,7 +3,8 @@
 Documents with equal shingle sets form one class. Each class representative keeps the SKETCH smallest shingle hashes. Its
 rarest retained values enter inverted lists: two sketches that share at least MIN_SHARED values share one of the
 SKETCH - MIN_SHARED + 1 rarest (fewer values: a small set lists all that it must). Within a list every member is compared
-with the list's first one; members of lists that then still span several components are compared across components.
+with the list's first one. Lists that then still span several components are refined until they are small, losing no link,
+and members of small ones are compared across components.
 The union sketch estimates Jaccard and drops clearly different pairs; the rest is verified on full sets. Nothing is capped.
 
 Null and empty texts have an empty set and are linked with nothing. A set is held as 64-bit hashes of its shingles.
@@ -22,6 +23,9 @@ from helixframe.llm.common import written
 
 SKETCH, MIN_SHARED, MARGIN = 32, 16, 0.25
 
+#: Members of a group up to which its pairs are written out; larger groups are refined first.
+SMALL = 48
+
 
 def set_hashes(text: str | bytes | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the text's k-word shingles; of the whole sequence if it is shorter."""
@@ -75,6 +79,66 @@ def verified(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def outside(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Per (h, id), where h has the smallest set: whether they are linked, the hashes of id's set outside h's, and how many of
+    these another member of no smaller set than h's must share to be linked with id, at least one."""
+
+    def run(batches):
+        for batch in batches:
+            linked, tokens, must, last, head = [], [], [], None, None
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if x != last:
+                    last, head = x, set_hashes(x, k)
+                own = set_hashes(y, k)
+                rest = np.setdiff1d(own, head, assume_unique=True)
+                both = len(own) - len(rest)
+                least = max(len(head), -(-percent * len(own) // 100))
+                linked.append(100 * both >= percent * (len(own) + len(head) - both))
+                must.append(max(1, -(-percent * (len(own) + least) // (100 + percent)) - both))
+                tokens.append(rest.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(must, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["h", "id", "linked", "must", "tokens"])
+
+    texts = lambda s, t: reps.select(F.col("id").alias(s), F.col("text").alias(t))
+    both = pairs.join(texts("h", "th"), "h").join(texts("id", "tx"), "id").select("h", "id", "th", "tx")
+    return both.mapInArrow(run, "h long, id long, linked boolean, must long, tokens array<long>")
+
+
+def refined(groups: DataFrame, reps: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs, links) that connect whatever members of a group (h, w) are linked across components.
+
+    A group of at most SMALL members gives its pairs. A larger one is compared with its smallest set, h. Let x not be linked
+    with h and y be any member: x and y share too few hashes inside h, so linked they share hashes outside h. These, the
+    rarest first and as many as the prefix filter asks for, make the next groups, of which those whose members are all
+    linked with h need no look. h is in none of them, so groups shrink until all are small.
+    """
+    spark = groups.sparkSession
+    pairs = spark.createDataFrame([], "a long, b long")
+    links = pairs
+    while True:
+        groups = written(groups, "groups")
+        sizes = groups.groupBy("h", "w").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "id")).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("linked").alias("all_linked"))
+        sizes = written(sizes.where("lo < hi and not all_linked"), "sizes")
+        same = lambda s: [F.col("h").eqNullSafe(F.col(s + "h")), F.col("w") == F.col(s + "w")]
+        keys = lambda df, s: df.select(F.col("h").alias(s + "h"), F.col("w").alias(s + "w"), *[c for c in df.columns if c not in ("h", "w")])
+        small = groups.join(keys(sizes.where(F.col("size") <= SMALL).select("h", "w"), "s"), same("s"), "left_semi")
+        x = small.select("h", "w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+        y = keys(small.select("h", "w", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), "y")
+        fits = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        pairs = written(pairs.unionByName(x.join(y, [*same("y"), fits]).select("a", "b")).distinct(), "pairs")
+        large = sizes.where(F.col("size") > SMALL)
+        if not large.limit(1).count():
+            return pairs, links
+        about = groups.select("id", "n", "comp").distinct()
+        heads = groups.join(keys(large.select("h", "w", F.col("head.id").alias("first")), "s"), same("s")).where(F.col("id") != F.col("first")).select(F.col("first").alias("h"), "id").distinct()
+        met = written(outside(heads, reps, k, percent), "outside")
+        links = links.unionByName(met.where("linked").select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b")))
+        tokens = met.select("h", "id", "linked", "must", F.size("tokens").alias("m"), F.explode("tokens").alias("w"))
+        seen = tokens.groupBy("h", "w").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+        own = Window.partitionBy("h", "id")
+        rank = F.row_number().over(own.orderBy("f", "w")) + F.col("m") - F.count(F.lit(1)).over(own)
+        groups = tokens.join(seen, ["h", "w"]).withColumn("r", rank).where(F.col("r") <= F.col("m") - F.col("must") + 1).join(about, "id").select("h", "w", "id", "n", "comp", "linked")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, comp: smallest reachable id. Labels go over edges and then jump to their label's label, until nothing changes."""
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -111,10 +175,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # lists that span several components: their members meet across components
     member = lists.join(found, "id")
     spans = member.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
-    rest = written(member.join(spans, "v", "left_semi"), "rest")
-    x, y = rest.select("v", F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca")), rest.select("v", F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"))
-    cross = x.join(y, "v").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    more = verified(estimated(cross.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), reps, percent), reps, k, percent)
+    rest = member.join(spans, "v", "left_semi").select(F.lit(None).cast("long").alias("h"), F.col("v").alias("w"), "id", F.col("n_shingles").alias("n"), "comp", F.lit(False).alias("linked"))
+    pairs, stars = refined(rest, reps, k, percent)
+    more = verified(estimated(pairs.join(star, ["a", "b"], "left_anti"), reps, percent), reps, k, percent).unionByName(stars)
     found = components(reps.select("id"), written(edges.unionByName(more), "links"))
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep").select("id", "comp").distinct()
     out = every.select("id", "n_shingles").join(named, "id", "left").withColumn("component_id", F.coalesce("comp", "id"))
