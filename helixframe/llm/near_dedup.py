@@ -24,7 +24,7 @@ from helixframe.llm.common import written
 SKETCH, MIN_SHARED, MARGIN = 32, 16, 0.25
 
 #: Members of a group up to which its pairs are written out; larger groups are refined first.
-SMALL = 48
+SMALL = 256
 
 
 def set_hashes(text: str | bytes | None, k: int) -> np.ndarray:
