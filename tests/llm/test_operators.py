@@ -75,3 +75,24 @@ def test_nearest_by_brute_force(spark):
         s[q] = -9
         hit += len(set(np.argsort(-s)[:5]) & set(got[got.query_id == q].vec_id))
     assert hit >= 18
+
+
+def test_refined_groups_lose_no_link(spark, monkeypatch):
+    """Lists far beyond the limit for plain pairs, against components of all pairs."""
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    rng = np.random.default_rng(3)
+    base = [WORDS[i] for i in rng.integers(0, 200, 60)]
+    data = []
+    for i in range(120):
+        w = list(base)
+        for j in rng.integers(0, 60, rng.integers(0, 7)):
+            w[j] = WORDS[rng.integers(0, 6)]
+        data.append((i, " ".join(w[: rng.integers(40, 61)] if i % 3 == 0 else w)))
+    sets = [set(near_dedup.set_hashes(t, 3).tolist()) for _, t in data]
+    want = list(range(len(data)))
+    for a in range(len(data)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((want[a], want[b]))
+                want = [x if c == y else c for c in want]
+    assert rows(near_dedup.near_duplicates(spark.createDataFrame(data, DOCS), k=3, percent=85), "doc_id", "component_id") == list(enumerate(want))
