@@ -96,3 +96,22 @@ def test_refined_groups_lose_no_link(spark, monkeypatch):
                 x, y = sorted((want[a], want[b]))
                 want = [x if c == y else c for c in want]
     assert rows(near_dedup.near_duplicates(spark.createDataFrame(data, DOCS), k=3, percent=85), "doc_id", "component_id") == list(enumerate(want))
+
+
+def test_chains_by_brute_force():
+    """The best predecessor within reach, also after a long chain whose end lies out of reach."""
+    cost, gain, gap = substring_dedup.GAP_COST, substring_dedup.GAIN, substring_dedup.MAX_GAP
+    first = np.arange(0, 300, 5)
+    two = [np.concatenate([first, first + 360]), np.concatenate([first, first + 360])]
+    got = substring_dedup.chains(*two)
+    assert sorted((int(two[0][c[0]]), int(two[0][c[-1]])) for c in got) == [(0, 295), (360, 655)]
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        anchors = sorted({(int(x), int(y)) for x, y in zip(rng.integers(0, 200, 150), rng.integers(0, 200, 150), strict=True)} | {(x, x + 7) for x in range(0, 60, 3)})
+        best: list[float] = []
+        for i, (x, y) in enumerate(anchors):
+            steps = [best[j] - cost * (x - u + y - v) for j, (u, v) in enumerate(anchors[:i]) if 0 < x - u <= gap and 0 < y - v <= gap]
+            best.append(gain + max([0.0, *steps]))
+        top = substring_dedup.chains(*(np.array(a) for a in zip(*anchors, strict=True)))[0]
+        steps = [anchors[j] for j in top]
+        assert abs(gain * len(steps) - cost * (sum(steps[-1]) - sum(steps[0])) - max(best)) < 1e-6
