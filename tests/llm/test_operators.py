@@ -115,3 +115,19 @@ def test_chains_by_brute_force():
         top = substring_dedup.chains(*(np.array(a) for a in zip(*anchors, strict=True)))[0]
         steps = [anchors[j] for j in top]
         assert abs(gain * len(steps) - cost * (sum(steps[-1]) - sum(steps[0])) - max(best)) < 1e-6
+
+
+def covered_words(df):
+    return {(r.doc, w) for r in df.collect() for w in range(r.start_word, r.end_word)}
+
+
+def test_passages_whose_seeds_occur_earlier(spark):
+    """Every seed of the passage first occurs in a small document, and the first holder of its rarer seeds is not its holder."""
+    passage = [f"p{i}" for i in range(60)]
+    data = [(i, " ".join([f"s{i}", *passage[i : i + 7], f"t{i}"])) for i in range(54)]
+    data += [(100, " ".join([*WORDS[:30], *passage, *WORDS[30:60]])), (101, " ".join([*WORDS[60:90], *passage, *WORDS[90:120]]))]
+    data += [(102, " ".join([*WORDS[120:140], *passage[:30], *WORDS[140:199], *passage[30:]])), (103, " ".join([*passage[:25], "new", *passage[26:]]))]
+    got = covered_words(substring_dedup.passages(spark.createDataFrame(data, DOCS)))
+    assert {w for d, w in got if d == 101} == set(range(30, 90))
+    assert {w for d, w in got if d == 103} == set(range(60))
+    assert {d for d, _ in got} == {101, 103}
