@@ -131,3 +131,18 @@ def test_passages_whose_seeds_occur_earlier(spark):
     assert {w for d, w in got if d == 101} == set(range(30, 90))
     assert {w for d, w in got if d == 103} == set(range(60))
     assert {d for d, _ in got} == {101, 103}
+
+
+def test_fuzzy_passages(spark):
+    """Passages of 100 words with a change every 6th to 10th word, 40 of each: all that have a common run of 5 words are found."""
+    rng = np.random.default_rng(7)
+    data, n = [], 0
+    for every in (6, 7, 8, 10):
+        for _ in range(40):
+            words = [f"x{v}" for v in rng.integers(0, 1 << 40, 160)]
+            fuzzy = [f"y{v}" if i % every == every - 1 else w for i, (w, v) in enumerate(zip(words[30:130], rng.integers(0, 1 << 40, 100), strict=True))]
+            data += [(n, " ".join(words)), (n + 1, " ".join(fuzzy))]
+            n += 2
+    got = substring_dedup.passages(spark.createDataFrame(data, DOCS)).collect()
+    assert sorted((r.doc, r.other_doc) for r in got) == [(i + 1, i) for i in range(0, n, 2)]
+    assert all(r.end_word - r.start_word >= 90 for r in got)
