@@ -5,7 +5,7 @@ rarest retained values enter inverted lists: two sketches that share at least MI
 SKETCH - MIN_SHARED + 1 rarest (fewer values: a small set lists all that it must). Within a list every member is compared
 with the list's first one. Lists that then still span several components are refined until they are small, losing no link,
 and members of small ones are compared across components.
-The union sketch estimates Jaccard and drops clearly different pairs; the rest is verified on full sets. Nothing is capped.
+The union sketch estimates Jaccard and drops pairs that share under MIN_UNION of its values; the rest is verified on full sets. Nothing is capped.
 
 Null and empty texts have an empty set and are linked with nothing. A set is held as 64-bit hashes of its shingles.
 """
@@ -21,7 +21,10 @@ from pyspark.sql.window import Window
 from helixframe.llm import textkernel as tk
 from helixframe.llm.common import written
 
-SKETCH, MIN_SHARED, MARGIN = 32, 16, 0.25
+SKETCH, MIN_SHARED = 32, 16
+
+#: Values of SKETCH that union sketches share at least, or the pair is dropped: at similarity 0.80 fewer have a chance of 2.7e-8.
+MIN_UNION = 12
 
 #: Members of a group up to which its pairs are written out; larger groups are refined first.
 SMALL = 256
@@ -58,7 +61,8 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     order = lambda x, y: F.when(x.bitwiseXOR(F.lit(-(1 << 63))) < y.bitwiseXOR(F.lit(-(1 << 63))), -1).when(x == y, 0).otherwise(1)
     union = F.slice(F.array_sort(F.array_union("sa", "sb"), order), 1, SKETCH)
     shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    return both.where(shared >= (percent / 100 - MARGIN) * F.size(union)).select("a", "b")
+    # a union of fewer values is the whole union: the estimate is exact
+    return both.where(F.when(F.size(union) < SKETCH, 100 * shared >= percent * F.size(union)).otherwise(shared >= MIN_UNION)).select("a", "b")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:

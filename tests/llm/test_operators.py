@@ -146,3 +146,20 @@ def test_fuzzy_passages(spark):
     got = substring_dedup.passages(spark.createDataFrame(data, DOCS)).collect()
     assert sorted((r.doc, r.other_doc) for r in got) == [(i + 1, i) for i in range(0, n, 2)]
     assert all(r.end_word - r.start_word >= 90 for r in got)
+
+
+def test_near_duplicates_with_few_shared_sketch_values(spark):
+    """A pair over the limit whose union sketches share fewer than 20 of 32 values."""
+    rng = np.random.default_rng(11)
+    while True:
+        words = [f"q{v}" for v in rng.integers(0, 1 << 30, 600)]
+        other = list(words)
+        for j in range(16):
+            other[10 + 36 * j] = f"r{rng.integers(0, 1 << 30)}"
+        a, b = (near_dedup.set_hashes(" ".join(w), 3) for w in (words, other))
+        union = np.union1d(a, b)[:32]
+        shared = len(np.intersect1d(union, np.intersect1d(a, b)))
+        if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)) and 16 <= shared < 20:
+            break
+    data = [(1, " ".join(words)), (2, " ".join(other))]
+    assert rows(near_dedup.near_duplicates(spark.createDataFrame(data, DOCS), k=3, percent=85), "doc_id", "component_id") == [(1, 1), (2, 1)]
