@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import small_side, written
+from helixframe.llm.common import fresh, small_side, written
 
 WINDOW, SHINGLE = 10, 3
 #: Positions are first looked up in a table of this many bits; a fixed size, however large the benchmark is.
@@ -92,4 +92,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     joined = base.select("id", "h", F.size("w").alias("n_words")).join(per.withColumnRenamed("id", "pid").withColumnRenamed("h", "ph"), F.col("id").eqNullSafe(F.col("pid")) & (F.col("h") == F.col("ph")), "left")
     return joined.select(
         F.col("id").alias(id_col), F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.encode(F.coalesce("names", F.lit("")), "utf-8"), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+        F.sha2(F.encode(F.coalesce("names", F.lit("")), "utf-8"), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), F.col("h").alias("text_hash"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without a benchmark window; rows with a null id are judged by their texts too. Columns stay as they are."""
+    i, t = fresh(docs, "i"), fresh(docs, "t")
+    bad = contamination(docs, items, id_col, text_col).where("contaminated").select(F.col(id_col).alias(i), F.col("text_hash").alias(t)).distinct()
+    return docs.join(bad, F.col(i).eqNullSafe(F.col(id_col)) & (F.col(t) == F.xxhash64(text_col)), "left_anti")

@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import fresh
+
 #: Hash buckets of byte 2- and 3-grams, embedding width, and the bound on labelled rows that training takes.
 BUCKETS, DIM, TRAIN_ROWS = 4096, 16, 1500
 _LETTER = regex.compile(r"\p{L}")
@@ -103,17 +105,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Lang
     return train(x, np.array([langs.index(v) for v in got["lang"]]), langs)
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """The columns of `keep` with lang_pred and score; the model has a fixed size."""
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of `keep`, then the predicted language and its score under `names`; the model has a fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             found = [shared.value.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names[:-1], *names])
+
+    return docs.select(*keep, F.col("text").alias(fresh(docs, "text"))).mapInArrow(run, schema)
+
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+def without_rejected(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The documents whose language the calibrated classifier accepts; columns stay as they are."""
+    names = fresh(docs, "lang"), fresh(docs, "score")
+    found = identify(docs, model, docs.columns, names)
+    return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= model.reject)).select(*docs.columns)

@@ -1,188 +1,235 @@
 """MinHash near-dedup by bottom-k sketches from one hash function.
 
-Documents with equal shingle sets form one class. Each class representative keeps the SKETCH smallest shingle hashes. Its
-rarest retained values enter inverted lists: two sketches that share at least MIN_SHARED values share one of the
-SKETCH - MIN_SHARED + 1 rarest (fewer values: a small set lists all that it must). Within a list every member is compared
-with the list's first one. Lists that then still span several components are refined until they are small, losing no link,
-and members of small ones are compared across components.
-The union sketch estimates Jaccard and drops pairs that share under MIN_UNION of its values; the rest is verified on full sets. Nothing is capped.
-
-Null and empty texts have an empty set and are linked with nothing. A set is held as 64-bit hashes of its shingles.
+Documents with equal shingle sets form one class, known by a 128-bit fingerprint of its set. Each class keeps the SKETCH
+smallest shingle hashes. Its rarest retained values enter inverted lists: two sketches that share at least MIN_SHARED
+values share one of the SKETCH - MIN_SHARED + 1 rarest (fewer values: a small set lists all that it must).
+
+Every list has a head, the class whose retained values are commonest, that is, the middle of a group of copies. Each member is
+compared with the head on full sets, which gives its exact similarity and its differences D: the head's shingles that it
+lacks and its own that the head lacks. With e = 100 * lacking + p * own and L = (100 - p) * |head| a member is linked with
+the head if and only if e <= L, and members x, y are linked if and only if
+    (100 + p) * |D(x) & D(y)| >= e(x) + e(y) - L.
+So if x isn't linked with the head, D(x) and D(y) overlap by more than e(y) / (100 + p), and a prefix filter over differences,
+the rarest first, finds y. Private differences match nothing and fill the prefixes, so a large group of copies costs about
+its size, not its square. Union sketches then estimate the similarity of the pairs found, drop those that share under
+MIN_UNION values, and the rule above verifies the rest. Lists and pairs have no caps.
+
+Defined results. Null and empty texts, and texts without words, have an empty set and are linked with nothing. Rows stay as
+many as given. Rows with equal ids but different texts are judged by their own texts. A null id takes part: its component is
+the smallest id reachable that is not null, or null, and it is kept if that is null. A set is held as 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from helixframe.llm import textkernel as tk
-from helixframe.llm.common import written
+from helixframe.llm.common import forget, fresh, small_side, written
 
 SKETCH, MIN_SHARED = 32, 16
 
 #: Values of SKETCH that union sketches share at least, or the pair is dropped: at similarity 0.80 fewer have a chance of 2.7e-8.
 MIN_UNION = 12
 
-#: Members of a group up to which its pairs are written out; larger groups are refined first.
-SMALL = 256
+#: Members that one task compares with a head at a time; a larger group is dealt over several tasks with its head in each.
+SALT = 256
+
+#: Sets one of the two kinds of differences apart.
+_LACKING = np.uint64(0x5851F42D4C957F2D)
 
 
 def set_hashes(text: str | bytes | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the text's k-word shingles; of the whole sequence if it is shorter."""
     data = np.frombuffer(text.encode() if isinstance(text, str) else text or b"", np.uint8)
     h, *_ = tk.word_hashes(data, np.array([0, len(data)]), tk.BLANKS)
+    return shingle_set(h, k)
+
+
+def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
     if not len(h):
         return np.zeros(0, np.uint64)
     return np.unique(tk.shingle_hashes(h, k) if len(h) >= k else tk.sequence_hash(h))
 
 
+def column_sets(column: pa.Array, k: int):
+    """The set of each text of a column, in order."""
+    for i, j, data, offsets in tk.slices(column):
+        h, _, _, first = tk.word_hashes(data, offsets, tk.BLANKS)
+        for r in range(j - i):
+            yield shingle_set(h[first[r] : first[r + 1]], k)
+
+
+def fingerprint(s: np.ndarray) -> bytes:
+    """128 bits of a set, whatever the order."""
+    with np.errstate(over="ignore"):
+        return np.array([tk.mix(s).sum(), tk.mix(s * tk._M1 + np.uint64(len(s))).sum()], np.uint64).tobytes()
+
+
 def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """id, n_shingles, fp (of the set), sketch (its smallest hashes as signed longs), text."""
+    """id, th (hash of the text), n_shingles, fp (of the set), sketch (its smallest hashes as signed longs)."""
 
     def run(batches):
         for batch in batches:
-            sets = [set_hashes(t, k) for t in batch.column(1).to_pylist()]
-            with np.errstate(over="ignore"):
-                fp = [f"{len(s)}-{int(tk.mix(s).sum()) if len(s) else 0}-{int(np.bitwise_xor.reduce(tk.mix(s * tk._M1))) if len(s) else 0}" for s in sets]
+            n, fp, sketch = [], [], []
+            for s in column_sets(batch.column(2), k):
+                n.append(len(s))
+                fp.append(fingerprint(s))
+                sketch.append(s[:SKETCH].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.string()), pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64())), batch.column(1)],
-                ["id", "n_shingles", "fp", "sketch", "text"])
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["id", "th", "n_shingles", "fp", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, fp string, sketch array<long>, text string")
+    return docs.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "id long, th long, n_shingles long, fp binary, sketch array<long>")
 
 
-def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and union sketches allow the similarity."""
-    side = lambda s: reps.select(F.col("id").alias(s), F.col("n_shingles").alias("n" + s), F.col("sketch").alias("s" + s))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    order = lambda x, y: F.when(x.bitwiseXOR(F.lit(-(1 << 63))) < y.bitwiseXOR(F.lit(-(1 << 63))), -1).when(x == y, 0).otherwise(1)
-    union = F.slice(F.array_sort(F.array_union("sa", "sb"), order), 1, SKETCH)
-    shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    # a union of fewer values is the whole union: the estimate is exact
-    return both.where(F.when(F.size(union) < SKETCH, 100 * shared >= percent * F.size(union)).otherwise(shared >= MIN_UNION)).select("a", "b")
-
+def ceil_div(a: Column, b: int) -> Column:
+    return F.ceil(a / F.lit(float(b)))
 
-def verified(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have the similarity; the texts come along instead of the larger sets."""
 
-    def run(batches):
-        for batch in batches:
-            keep, last, last_set = [], None, None
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x != last:
-                    last, last_set = x, set_hashes(x, k)
-                other = set_hashes(y, k)
-                both = len(np.intersect1d(last_set, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(last_set) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    texts = lambda s: reps.select(F.col("id").alias(s), F.col("text").alias("t" + s))
-    return pairs.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+def listed(nodes: DataFrame, percent: int) -> DataFrame:
+    """v, fp, score, f: the inverted lists. score adds up how common the class's retained values are."""
+    values = nodes.select("fp", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+    seen = values.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    per = values.join(seen, "v").groupBy("fp", "m").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs"), F.sum("f").alias("score"))
+    need = F.when(F.col("m") < SKETCH, F.ceil(F.col("m") * (percent / 100))).otherwise(MIN_SHARED)
+    # a value that nobody shares is rarer than all others and takes part in no list
+    take = F.greatest(F.lit(0), F.size("vs") - need + 1).cast("int")
+    return per.select("fp", "score", F.explode(F.slice("vs", F.lit(1), take)).alias("z")).select("z.v", "fp", "score")
 
 
-def outside(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per (h, id), where h has the smallest set: whether they are linked, the hashes of id's set outside h's, and how many of
-    these another member of no smaller set than h's must share to be linked with id, at least one."""
+def compared(star: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """For each (h, fp): e, lim, linked, and the differences d of fp from h, by full sets. A head travels once per SALT members."""
 
     def run(batches):
+        key, head = None, None
         for batch in batches:
-            linked, tokens, must, last, head = [], [], [], None, None
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x != last:
-                    last, head = x, set_hashes(x, k)
-                own = set_hashes(y, k)
-                rest = np.setdiff1d(own, head, assume_unique=True)
-                both = len(own) - len(rest)
-                least = max(len(head), -(-percent * len(own) // 100))
-                linked.append(100 * both >= percent * (len(own) + len(head) - both))
-                must.append(max(1, -(-percent * (len(own) + least) // (100 + percent)) - both))
-                tokens.append(rest.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(must, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["h", "id", "linked", "must", "tokens"])
-
-    texts = lambda s, t: reps.select(F.col("id").alias(s), F.col("text").alias(t))
-    both = pairs.join(texts("h", "th"), "h").join(texts("id", "tx"), "id").select("h", "id", "th", "tx")
-    return both.mapInArrow(run, "h long, id long, linked boolean, must long, tokens array<long>")
-
-
-def refined(groups: DataFrame, reps: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(candidate pairs, links) that connect whatever members of a group (h, w) are linked across components.
-
-    A group of at most SMALL members gives its pairs. A larger one is compared with its smallest set, h. Let x not be linked
-    with h and y be any member: x and y share too few hashes inside h, so linked they share hashes outside h. These, the
-    rarest first and as many as the prefix filter asks for, make the next groups, of which those whose members are all
-    linked with h need no look. h is in none of them, so groups shrink until all are small.
-    """
-    spark = groups.sparkSession
-    pairs = spark.createDataFrame([], "a long, b long")
-    links = pairs
-    while True:
-        groups = written(groups, "groups")
-        sizes = groups.groupBy("h", "w").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "id")).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("linked").alias("all_linked"))
-        sizes = written(sizes.where("lo < hi and not all_linked"), "sizes")
-        same = lambda s: [F.col("h").eqNullSafe(F.col(s + "h")), F.col("w") == F.col(s + "w")]
-        keys = lambda df, s: df.select(F.col("h").alias(s + "h"), F.col("w").alias(s + "w"), *[c for c in df.columns if c not in ("h", "w")])
-        small = groups.join(keys(sizes.where(F.col("size") <= SMALL).select("h", "w"), "s"), same("s"), "left_semi")
-        x = small.select("h", "w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        y = keys(small.select("h", "w", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), "y")
-        fits = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        pairs = written(pairs.unionByName(x.join(y, [*same("y"), fits]).select("a", "b")).distinct(), "pairs")
-        large = sizes.where(F.col("size") > SMALL)
-        if not large.limit(1).count():
-            return pairs, links
-        about = groups.select("id", "n", "comp").distinct()
-        heads = groups.join(keys(large.select("h", "w", F.col("head.id").alias("first")), "s"), same("s")).where(F.col("id") != F.col("first")).select(F.col("first").alias("h"), "id").distinct()
-        met = written(outside(heads, reps, k, percent), "outside")
-        links = links.unionByName(met.where("linked").select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b")))
-        tokens = met.select("h", "id", "linked", "must", F.size("tokens").alias("m"), F.explode("tokens").alias("w"))
-        seen = tokens.groupBy("h", "w").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-        own = Window.partitionBy("h", "id")
-        rank = F.row_number().over(own.orderBy("f", "w")) + F.col("m") - F.count(F.lit(1)).over(own)
-        groups = tokens.join(seen, ["h", "w"]).withColumn("r", rank).where(F.col("r") <= F.col("m") - F.col("must") + 1).join(about, "id").select("h", "w", "id", "n", "comp", "linked")
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, comp: smallest reachable id. Labels go over edges and then jump to their label's label, until nothing changes."""
+            cols = [batch.column(c).to_pylist() for c in ("h", "salt", "kind", "fp")]
+            out = [[], [], [], [], []]
+            for h, salt, kind, fp, s in zip(*cols, column_sets(batch.column(4), k), strict=True):
+                if kind == 0:
+                    key, head = (h, salt), s
+                    continue
+                if key != (h, salt):
+                    raise ValueError("a member came before its head")
+                lacking, own = np.setdiff1d(head, s, assume_unique=True), np.setdiff1d(s, head, assume_unique=True)
+                for c, x in zip(out, (h, fp, 100 * len(lacking) + percent * len(own), (100 - percent) * len(head), np.concatenate([lacking ^ _LACKING, own]).view(np.int64)), strict=True):
+                    c.append(x)
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "fp", "e", "lim", "d"])
+
+    salts = star.groupBy("h").agg(ceil_div(F.count(F.lit(1)), SALT).alias("salts"))
+    dealt = star.join(salts, "h").withColumn("salt", F.pmod(F.xxhash64("fp"), "salts").cast("int")).drop("salts")
+    members = dealt.select("h", "salt", F.lit(1).alias("kind"), "fp").join(texts, "fp")
+    heads = dealt.select("h", "salt").distinct().select("h", "salt", F.lit(0).alias("kind"), F.col("h").alias("fp")).join(texts, "fp")
+    both = heads.select("h", "salt", "kind", "fp", "text").unionByName(members.select("h", "salt", "kind", "fp", "text"))
+    ordered = both.repartition("h", "salt").sortWithinPartitions("h", "salt", "kind")
+    return ordered.mapInArrow(run, "h binary, fp binary, e long, lim long, d array<long>").withColumn("linked", F.col("e") <= F.col("lim"))
+
+
+def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and union sketches allow the similarity."""
+    side = lambda s: nodes.select(F.col("fp").alias(s), F.col("n_shingles").alias("n" + s), F.col("sketch").alias("s" + s))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    order = lambda x, y: F.when(x.bitwiseXOR(F.lit(-(1 << 63))) < y.bitwiseXOR(F.lit(-(1 << 63))), -1).when(x == y, 0).otherwise(1)
+    union = F.slice(F.array_sort(F.array_union("sa", "sb"), order), 1, SKETCH)
+    shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
+    # a union of fewer values is the whole union: the estimate is exact
+    return both.where(F.when(F.size(union) < SKETCH, 100 * shared >= percent * F.size(union)).otherwise(shared >= MIN_UNION)).select(*pairs.columns)
+
+
+def across(met: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """h, a, b: members of h's group in different components, one not linked with h, whose differences may overlap enough."""
+    member = met.join(label.withColumnRenamed("id", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    live = member.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(~F.col("linked")).alias("some"), F.min("e").alias("least")).where("lo < hi and some")
+    member = member.join(live.select("h", "least"), "h")
+    token = member.select("h", "fp", "e", "lim", "comp", "linked", "least", F.size("d").alias("m"), F.explode("d").alias("w"))
+    common = token.groupBy("h", "w").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    per = token.join(common, ["h", "w"]).groupBy("h", "fp", "e", "lim", "comp", "linked", "least", "m").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("ws"))
+    # of a pair y is the one with the smaller e, x is not linked; private differences come first and match nothing
+    least_overlap = lambda mine, other: F.greatest(F.lit(1), ceil_div(mine + other - F.col("lim"), 100 + percent))
+    prefix = lambda overlap: F.explode(F.slice("ws", F.lit(1), F.greatest(F.lit(0), F.size("ws") - overlap + 1).cast("int")))
+    held = per.select("h", F.col("fp").alias("y"), F.col("e").alias("ey"), F.col("comp").alias("cy"), prefix(least_overlap(F.col("e"), F.greatest(F.col("e"), F.col("lim") + 1))).alias("z")).select("h", "y", "ey", "cy", "z.w")
+    asked = per.where("not linked").select("h", F.col("fp").alias("x"), F.col("e").alias("ex"), F.col("comp").alias("cx"), prefix(least_overlap(F.col("e"), F.col("least"))).alias("z")).select("h", "x", "ex", "cx", "z.w")
+    found = asked.join(held, ["h", "w"]).where("cx <> cy and (ey < ex or (ey = ex and y < x))")
+    return found.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("h").alias("h"))
+
+
+def verified(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets have the similarity, by their differences from a head of both."""
+    side = lambda s: met.select("h", F.col("fp").alias(s), F.col("e").alias("e" + s), F.col("d").alias("d" + s), *([F.col("lim")] if s == "a" else []))
+    both = pairs.join(side("a"), ["h", "a"]).join(side("b"), ["h", "b"])
+    return both.where((100 + percent) * F.size(F.array_intersect("da", "db")) >= F.col("ea") + F.col("eb") - F.col("lim")).select("a", "b")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, comp for every end of an edge: smallest reachable id. Labels go over edges and then jump to their label's label,
+    until nothing changes."""
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = written(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("comp")), "label")
-    while True:
+    changed = label.limit(1).count()
+    while changed:
         near = both.join(label.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
         step = label.join(near, "id").select("id", "comp", F.least("comp", "near").alias("new"))
         jump = label.select(F.col("id").alias("new"), F.col("comp").alias("far"))
-        moved = written(step.join(jump, "new", "left").select("id", "comp", F.least("new", F.coalesce("far", "new")).alias("new")), "label")
-        changed = moved.where("comp <> new").limit(1).count()
-        label = moved.select("id", F.col("new").alias("comp"))
-        if not changed:
-            return nodes.join(label, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+        new = F.least("new", F.coalesce("far", "new"))
+        moved = written(step.join(jump, "new", "left").select("id", new.alias("comp"), (F.col("comp") != new).alias("moved")), "label")
+        changed = moved.where("moved").limit(1).count()
+        forget(label)
+        label = moved.select("id", "comp")
+        label._stored = moved._stored
+    forget(both)
+    return label
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_shingles, component_id (smallest id reachable over links), kept."""
-    every = written(sketched(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), k), "sketched")
-    full = every.where("n_shingles > 0")
-    first = full.groupBy("fp").agg(F.min("id").alias("rep"))
-    classes = written(full.select("id", "fp").join(first, "fp").select("id", "rep"), "classes")
-    reps = written(full.join(first.select(F.col("rep").alias("id"), F.col("fp").alias("f")), "id", "left_semi").dropDuplicates(["id"]), "reps")
-    values = reps.select("id", "n_shingles", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
-    seen = values.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "v"))
-    # a value that nobody shares takes part in no list; ranks count it as rarer than all others
-    shared = values.join(seen, "v").withColumn("r", rank + F.col("m") - F.count(F.lit(1)).over(Window.partitionBy("id")))
-    need = F.when(F.col("m") < SKETCH, F.ceil(F.col("m") * (percent / 100))).otherwise(MIN_SHARED)
-    lists = written(shared.where(F.col("r") <= F.col("m") - need + 1).select("v", "id", "n_shingles"), "lists")
-    heads = lists.groupBy("v").agg(F.min("id").alias("a"))
-    star = lists.join(heads, "v").where("id > a").select("a", F.col("id").alias("b")).distinct()
-    edges = written(verified(estimated(star, reps, percent), reps, k, percent), "links")
-    found = written(components(reps.select("id"), edges), "components")
-    # lists that span several components: their members meet across components
-    member = lists.join(found, "id")
-    spans = member.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
-    rest = member.join(spans, "v", "left_semi").select(F.lit(None).cast("long").alias("h"), F.col("v").alias("w"), "id", F.col("n_shingles").alias("n"), "comp", F.lit(False).alias("linked"))
-    pairs, stars = refined(rest, reps, k, percent)
-    more = verified(estimated(pairs.join(star, ["a", "b"], "left_anti"), reps, percent), reps, k, percent).unionByName(stars)
-    found = components(reps.select("id"), written(edges.unionByName(more), "links"))
-    named = classes.join(found.withColumnRenamed("id", "rep"), "rep").select("id", "comp").distinct()
-    out = every.select("id", "n_shingles").join(named, "id", "left").withColumn("component_id", F.coalesce("comp", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    """Per row: id, n_shingles, component_id (smallest id reachable over links), kept, group_key (null without words), text_hash."""
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = written(sketched(base, k), "sketched")
+    full = rows.where("n_shingles > 0")
+    nodes = written(full.select("fp", "id", "th", "n_shingles", "sketch").dropDuplicates(["fp"]), "classes")
+    lists = written(listed(nodes, percent), "lists")
+    heads = lists.groupBy("v").agg(F.max(F.struct("score", "fp"))["fp"].alias("h"))
+    star = written(lists.join(heads, "v").where("h <> fp").select("h", "fp").distinct(), "star")
+    wanted = written(star.select("fp").unionByName(star.select(F.col("h").alias("fp"))).distinct().join(nodes.select("fp", "id", "th"), "fp"), "wanted")
+    hashed = base.where("text is not null").select("id", F.xxhash64("text").alias("th"), "text")
+    named = small_side(wanted.select("fp", F.col("id").alias("wid"), F.col("th").alias("wth")), 64)
+    texts = hashed.join(named, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid"))).select("fp", "text")
+    texts = written(texts.dropDuplicates(["fp"]), "texts")
+    met = written(compared(star, nodes, texts, k, percent), "met")
+    forget(lists, star, wanted, texts)
+    first = components(met.where("linked").select(F.col("h").alias("a"), F.col("fp").alias("b")))
+    pairs = estimated(across(met, first, percent), nodes, percent)
+    links = written(verified(pairs, met, percent), "links")
+    # the second links join components, so the graph is contracted first
+    of = lambda s: first.select(F.col("id").alias(s), F.col("comp").alias("c" + s))
+    joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    second = components(joined)
+    whole = first.unionByName(second.join(first.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp")))
+    label = whole.join(second.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left").select(F.col("id").alias("fp"), F.coalesce("top", "comp").alias("comp"))
+    label = written(label, "components")
+    forget(met, links, first, second)
+    smallest = full.groupBy("fp").agg(F.min("id").alias("id")).join(label, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    smallest = written(smallest, "smallest")
+    least = smallest.groupBy("comp").agg(F.min("id").alias("component_id"))
+    place = smallest.join(least, "comp").select("fp", "comp", "component_id")
+    forget(nodes, label)
+    out = rows.select("id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp")).join(place, "fp", "left")
+    out = out.withColumn("component_id", F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("comp").alias("group_key"), F.col("th").alias("text_hash"))
+
+
+def without_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group the row with the smallest id that is not null stays, of rows with that id the one with the smallest text
+    hash, once. Rows without words are in no group and stay, equal ones (id and text) once. Columns stay as they are."""
+    found = written(near_duplicates(docs, k, percent, id_col, text_col).select(F.col(id_col).alias("i"), F.col("text_hash").alias("t"), "group_key"), "found")
+    first = found.where("group_key is not null").groupBy("group_key").agg(F.min(F.struct(F.col("i").isNull().alias("last"), "i", "t")).alias("m")).select("m.i", "m.t")
+    keys = first.unionByName(found.where("group_key is null").select("i", "t").distinct())
+    i, t, x = (fresh(docs, c) for c in ("i", "t", "x"))
+    same = F.col(i).eqNullSafe(F.col(id_col).cast("long")) & (F.col(t) == F.col(x))
+    rows = docs.withColumn(x, F.xxhash64(text_col)).join(keys.select(F.col("i").alias(i), F.col("t").alias(t)), same, "left_semi")
+    repeated = found.groupBy("i", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("i").alias(i), F.col("t").alias(t))
+    if repeated.limit(1).count():
+        rows = rows.join(repeated, same, "left_anti").unionByName(rows.join(repeated, same, "left_semi").dropDuplicates([id_col, x]))
+    return rows.select(*docs.columns)

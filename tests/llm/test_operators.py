@@ -77,25 +77,38 @@ def test_nearest_by_brute_force(spark):
     assert hit >= 18
 
 
-def test_refined_groups_lose_no_link(spark, monkeypatch):
-    """Lists far beyond the limit for plain pairs, against components of all pairs."""
-    monkeypatch.setattr(near_dedup, "SMALL", 4)
-    rng = np.random.default_rng(3)
-    base = [WORDS[i] for i in rng.integers(0, 200, 60)]
+def linked_by_brute_force(texts, k, percent):
+    """Smallest row number reachable, over all pairs."""
+    sets = [set(near_dedup.set_hashes(t, k).tolist()) for t in texts]
+    want = list(range(len(texts)))
+
+    def root(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and 100 * min(len(sets[a]), len(sets[b])) >= percent * max(len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                want[y] = x
+    return [root(x) for x in range(len(texts))]
+
+
+@pytest.mark.parametrize(("n", "k", "percent"), [(120, 3, 85), (700, 3, 85), (300, 5, 80)])
+def test_large_groups_lose_no_link(spark, n, k, percent):
+    """Near copies of a few bases, many of them not linked with the middle of their group."""
+    rng = np.random.default_rng(n)
+    bases = [[WORDS[i] for i in rng.integers(0, 200, 80)] for _ in range(3)]
     data = []
-    for i in range(120):
-        w = list(base)
-        for j in rng.integers(0, 60, rng.integers(0, 7)):
+    for i in range(n):
+        w = list(bases[0 if i % 4 else i // 4 % 3])
+        for j in rng.integers(0, 80, rng.integers(0, 9)):
             w[j] = WORDS[rng.integers(0, 6)]
-        data.append((i, " ".join(w[: rng.integers(40, 61)] if i % 3 == 0 else w)))
-    sets = [set(near_dedup.set_hashes(t, 3).tolist()) for _, t in data]
-    want = list(range(len(data)))
-    for a in range(len(data)):
-        for b in range(a):
-            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                x, y = sorted((want[a], want[b]))
-                want = [x if c == y else c for c in want]
-    assert rows(near_dedup.near_duplicates(spark.createDataFrame(data, DOCS), k=3, percent=85), "doc_id", "component_id") == list(enumerate(want))
+        data.append((i, " ".join(w[: rng.integers(60, 81)] if i % 3 == 0 else w)))
+    want = linked_by_brute_force([t for _, t in data], k, percent)
+    assert len(set(want)) < n
+    assert rows(near_dedup.near_duplicates(spark.createDataFrame(data, DOCS), k=k, percent=percent), "doc_id", "component_id") == list(enumerate(want))
 
 
 def test_chains_by_brute_force():
