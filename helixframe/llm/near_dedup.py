@@ -4,9 +4,10 @@ Documents with equal shingle sets form one class, known by a 128-bit fingerprint
 smallest shingle hashes. Its rarest retained values enter inverted lists: two sketches that share at least MIN_SHARED
 values share one of the SKETCH - MIN_SHARED + 1 rarest (fewer values: a small set lists all that it must).
 
-Every list has a head, the class whose retained values are commonest, that is, the middle of a group of copies. Each member is
-compared with the head on full sets, which gives its exact similarity and its differences D: the head's shingles that it
-lacks and its own that the head lacks. With e = 100 * lacking + p * own and L = (100 - p) * |head| a member is linked with
+Every list has a head, the class whose retained values are commonest, that is, near the middle of a group of copies. Each
+member is compared with the head on full sets, which gives its exact similarity and its differences D: the head's shingles that
+it lacks and its own that the head lacks. The group then takes the member nearest to what most members have as its head, to
+which the differences are converted exactly. With e = 100 * lacking + p * own and L = (100 - p) * |head| a member is linked with
 the head if and only if e <= L, and members x, y are linked if and only if
     (100 + p) * |D(x) & D(y)| >= e(x) + e(y) - L.
 So if x isn't linked with the head, D(x) and D(y) overlap by more than e(y) / (100 + p), and a prefix filter over differences,
@@ -99,33 +100,68 @@ def listed(nodes: DataFrame, percent: int) -> DataFrame:
     return per.select("fp", "score", F.explode(F.slice("vs", F.lit(1), take)).alias("z")).select("z.v", "fp", "score")
 
 
-def compared(star: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """For each (h, fp): e, lim, linked, and the differences d of fp from h, by full sets. A head travels once per SALT members."""
+def compared(star: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """For each (h, fp): nh (size of the head), and the hashes that fp lacks and those it has of its own, by full sets.
+    A head travels once per SALT members."""
 
     def run(batches):
-        key, head = None, None
+        key, head, last = None, None, None
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("h", "salt", "kind", "fp")]
             out = [[], [], [], [], []]
             for h, salt, kind, fp, s in zip(*cols, column_sets(batch.column(4), k), strict=True):
                 if kind == 0:
-                    key, head = (h, salt), s
+                    key, head, last = (h, salt), s, None
                     continue
                 if key != (h, salt):
                     raise ValueError("a member came before its head")
-                lacking, own = np.setdiff1d(head, s, assume_unique=True), np.setdiff1d(s, head, assume_unique=True)
-                for c, x in zip(out, (h, fp, 100 * len(lacking) + percent * len(own), (100 - percent) * len(head), np.concatenate([lacking ^ _LACKING, own]).view(np.int64)), strict=True):
+                if fp == last:  # a repeated row
+                    continue
+                last = fp
+                for c, x in zip(out, (h, fp, len(head), np.setdiff1d(head, s, assume_unique=True).view(np.int64), np.setdiff1d(s, head, assume_unique=True).view(np.int64)), strict=True):
                     c.append(x)
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "fp", "e", "lim", "d"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "fp", "nh", "lacks", "own"])
 
     salts = star.groupBy("h").agg(ceil_div(F.count(F.lit(1)), SALT).alias("salts"))
-    dealt = star.join(salts, "h").withColumn("salt", F.pmod(F.xxhash64("fp"), "salts").cast("int")).drop("salts")
-    members = dealt.select("h", "salt", F.lit(1).alias("kind"), "fp").join(texts, "fp")
-    heads = dealt.select("h", "salt").distinct().select("h", "salt", F.lit(0).alias("kind"), F.col("h").alias("fp")).join(texts, "fp")
-    both = heads.select("h", "salt", "kind", "fp", "text").unionByName(members.select("h", "salt", "kind", "fp", "text"))
-    ordered = both.repartition("h", "salt").sortWithinPartitions("h", "salt", "kind")
-    return ordered.mapInArrow(run, "h binary, fp binary, e long, lim long, d array<long>").withColumn("linked", F.col("e") <= F.col("lim"))
+    dealt = written(star.join(salts, "h").withColumn("salt", F.pmod(F.xxhash64("fp"), "salts").cast("int")).drop("salts"), "dealt")
+    heads = dealt.select("h", "salt").distinct().select("h", "salt", F.lit(0).alias("kind"), F.col("h").alias("fp"))
+    wanted = heads.unionByName(dealt.select("h", "salt", F.lit(1).alias("kind"), "fp")).join(nodes.select("fp", "id", "th"), "fp")
+    wanted = written(wanted.withColumnRenamed("id", "wid").withColumnRenamed("th", "wth"), "wanted")
+    hashed = docs.where("text is not null").select("id", F.xxhash64("text").alias("th"), "text")
+    both = hashed.join(small_side(wanted, 96), (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid"))).select("h", "salt", "kind", "fp", "text")
+    ordered = both.repartition("h", "salt").sortWithinPartitions("h", "salt", "kind", "fp")
+    met = written(ordered.mapInArrow(run, "h long, fp long, nh long, lacks array<long>, own array<long>"), "met")
+    forget(dealt, wanted)
+    return met
+
+
+def priced(met: DataFrame, percent: int) -> DataFrame:
+    """h (group), c (its head), fp, e, lim, linked, d (all differences: a hash is of the same kind in all members of a group)."""
+    e = 100 * F.size("lacks").cast("long") + percent * F.size("own").cast("long")
+    return met.select("h", "c", "fp", e.alias("e"), ((100 - percent) * F.col("nh")).alias("lim"), F.concat("lacks", "own").alias("d")).withColumn("linked", F.col("e") <= F.col("lim"))
+
+
+def recentred(met: DataFrame, percent: int) -> DataFrame:
+    """met with the group's head replaced by the member that is nearest to what most members have, from the differences
+    alone. Fewer members differ from it by much. Groups whose members are all linked with the head are left out."""
+    cost = 100 * F.size("lacks").cast("long") + percent * F.size("own").cast("long") > (100 - percent) * F.col("nh")
+    groups = met.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max(cost).alias("some")).where("some").select("h", "m")
+    met = met.join(groups, "h")
+    token = met.select("h", "m", F.explode(F.concat("lacks", "own")).alias("w"))
+    most = token.groupBy("h", "m", "w").agg(F.count(F.lit(1)).alias("f")).where("2 * f > m + 1").groupBy("h").agg(F.collect_list("w").alias("most"))
+    near = met.join(most, "h")  # where most members differ in nothing, the head stays
+    d = F.concat("lacks", "own")
+    far = near.select("h", "fp", (F.size(d) + F.size("most") - 2 * F.size(F.array_intersect(d, "most"))).alias("far"), F.size("most").alias("now"))
+    best = far.where("far < now").groupBy("h").agg(F.min(F.struct("far", "fp"))["fp"].alias("fp"))
+    centre = met.join(best, ["h", "fp"]).select("h", F.col("fp").alias("c"), F.col("lacks").alias("cl"), F.col("own").alias("co"))
+    none = F.array().cast("array<long>")
+    every = met.select("h", "fp", "nh", "lacks", "own").unionByName(met.join(best.select("h"), "h", "left_semi").groupBy("h").agg(F.max("nh").alias("nh")).select("h", F.col("h").alias("fp"), "nh", none.alias("lacks"), none.alias("own")))
+    moved = every.join(centre, "h", "left").where("c is null or c <> fp")
+    lacks = F.when(F.col("c").isNull(), F.col("lacks")).otherwise(F.concat(F.array_except("lacks", "cl"), F.array_except("co", "own")))
+    own = F.when(F.col("c").isNull(), F.col("own")).otherwise(F.concat(F.array_except("own", "co"), F.array_except("cl", "lacks")))
+    size = F.when(F.col("c").isNull(), F.col("nh")).otherwise(F.col("nh") - F.size("cl") + F.size("co"))
+    return moved.select(F.coalesce("c", "h").alias("c"), "h", "fp", size.alias("nh"), lacks.alias("lacks"), own.alias("own"))
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -164,7 +200,7 @@ def verified(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, comp for every end of an edge: smallest reachable id. Labels go over edges and then jump to their label's label,
+    """id, comp for every end of an edge: smallest reachable number. Labels go over edges and then jump to their label's label,
     until nothing changes."""
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = written(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("comp")), "label")
@@ -188,20 +224,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = written(sketched(base, k), "sketched")
     full = rows.where("n_shingles > 0")
-    nodes = written(full.select("fp", "id", "th", "n_shingles", "sketch").dropDuplicates(["fp"]), "classes")
+    # from here on a class goes by a number, which is half as long as its fingerprint
+    classes = full.select(F.col("fp").alias("key"), "id", "th", "n_shingles", "sketch").dropDuplicates(["key"])
+    nodes = written(classes.withColumn("fp", F.monotonically_increasing_id()), "classes")
     lists = written(listed(nodes, percent), "lists")
     heads = lists.groupBy("v").agg(F.max(F.struct("score", "fp"))["fp"].alias("h"))
     star = written(lists.join(heads, "v").where("h <> fp").select("h", "fp").distinct(), "star")
-    wanted = written(star.select("fp").unionByName(star.select(F.col("h").alias("fp"))).distinct().join(nodes.select("fp", "id", "th"), "fp"), "wanted")
-    hashed = base.where("text is not null").select("id", F.xxhash64("text").alias("th"), "text")
-    named = small_side(wanted.select("fp", F.col("id").alias("wid"), F.col("th").alias("wth")), 64)
-    texts = hashed.join(named, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid"))).select("fp", "text")
-    texts = written(texts.dropDuplicates(["fp"]), "texts")
-    met = written(compared(star, nodes, texts, k, percent), "met")
-    forget(lists, star, wanted, texts)
-    first = components(met.where("linked").select(F.col("h").alias("a"), F.col("fp").alias("b")))
-    pairs = estimated(across(met, first, percent), nodes, percent)
-    links = written(verified(pairs, met, percent), "links")
+    met = compared(star, nodes, base, k, percent)
+    forget(lists, star)
+    again = written(recentred(met, percent), "again")
+    linked = priced(met.withColumn("c", F.col("h")), percent).unionByName(priced(again, percent)).where("linked")
+    first = components(linked.select(F.col("c").alias("a"), F.col("fp").alias("b")).distinct())
+    met_again = priced(again, percent)
+    pairs = estimated(across(met_again, first, percent), nodes, percent)
+    links = written(verified(pairs, met_again, percent), "links")
     # the second links join components, so the graph is contracted first
     of = lambda s: first.select(F.col("id").alias(s), F.col("comp").alias("c" + s))
     joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
@@ -209,11 +245,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     whole = first.unionByName(second.join(first.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp")))
     label = whole.join(second.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left").select(F.col("id").alias("fp"), F.coalesce("top", "comp").alias("comp"))
     label = written(label, "components")
-    forget(met, links, first, second)
-    smallest = full.groupBy("fp").agg(F.min("id").alias("id")).join(label, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    smallest = written(smallest, "smallest")
+    forget(met, again, links, first, second)
+    smallest = full.groupBy(F.col("fp").alias("key")).agg(F.min("id").alias("id")).join(nodes.select("key", "fp"), "key")
+    smallest = written(smallest.join(label, "fp", "left").select("key", "id", F.coalesce("comp", "fp").alias("comp")), "smallest")
     least = smallest.groupBy("comp").agg(F.min("id").alias("component_id"))
-    place = smallest.join(least, "comp").select("fp", "comp", "component_id")
+    place = smallest.join(least, "comp").select(F.col("key").alias("fp"), "comp", "component_id")
     forget(nodes, label)
     out = rows.select("id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp")).join(place, "fp", "left")
     out = out.withColumn("component_id", F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id")))
