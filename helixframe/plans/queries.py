@@ -1,83 +1,136 @@
-"""The engine's registered queries: name -> callable(spark, sf_dir), and the same in SQL for a second engine.
-
-Reference sequences are the A, C, G, T letters of documents, reads those of benchmark texts. The relational form of each
-stage is stated once; the two dialects differ in how they make rows from a range, replace by pattern and parse hex.
-"""
+"""The engine's registered queries: name -> callable(spark, sf_dir). References are derived from documents, reads from benchmark
+texts. Sketches have 8 coordinates and 4 tables of one here, so that the second engine's plain SQL can follow; AlignParams() has 128 and 78."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.functions import sequence as sq
+from helixframe.operators import chaining, finalize, index as ix, kmers as km, sketch as sk, stats, voting as vt
+from helixframe.params import AlignParams
+from helixframe.plans import align
+from helixframe.sources import tables
+
+P = AlignParams(h=8, n_tables=4, proj_len=1)
+BINNED = AlignParams(h=8, n_tables=4, proj_len=1, bin_size=20, interval=3)
+#: Windows of the repeat reports begin every so many letters.
+STEP = 32
+SECRET = "s"
+
+
+class Data:
+    """Derived tables and stages over one input folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.refs, self.reads = tables.references(spark, sf_dir), tables.reads(spark, sf_dir)
+        self.strands = tables.strands(self.reads)
+
+    def ref_kmers(self, k: int = P.k) -> DataFrame:
+        return km.kmers(self.refs, ["seq_id"], k)
+
+    def hist(self) -> DataFrame:
+        return km.histogram(self.ref_kmers())
+
+    def sketches(self) -> DataFrame:
+        return sk.read_sketches(self.strands, self.hist(), P)
+
+    def index(self) -> DataFrame:
+        return ix.build(self.refs, self.hist(), P)
+
+    def contigs(self) -> DataFrame:
+        return align.candidates(self.refs, self.strands, P)
+
+    def tasks(self) -> DataFrame:
+        return vt.tasks(self.contigs(), P)
+
+    def matches(self, tasks: DataFrame) -> DataFrame:
+        return vt.matches(km.kmers(self.strands, ["rid", "rc"], P.k2), align.contig_kmers(self.refs, tasks, P))
+
+    def votes(self, p: AlignParams = P) -> DataFrame:
+        tasks = self.tasks().cache()
+        return align.voted(self.matches(tasks), self.strands, tasks, p)
+
+    def best(self) -> DataFrame:
+        return align.best(self.refs, self.reads, P, SECRET)
+
+
+def ciphers(d: Data) -> DataFrame:
+    found = km.kmers(d.strands, ["rid", "rc"], P.k2).withColumn("task", F.concat_ws(":", "rid", "rc"))
+    return vt.ciphers(found, km.repeats(d.strands, ["rid", "rc"], P.k2), ["rid", "rc", "pos"], "task", SECRET)
+
+
+def sampled(d: Data, p: AlignParams) -> DataFrame:
+    n = F.length("seq").cast("long")
+    return d.refs.select("seq_id", sq.n_kmers(n, p.k2).alias("n"), sq.n_sampled(n, p.k2, p.interval).alias("uniform"), sq.n_sampled_binned(n, p.k2, p.interval, p.bin_size).alias("binned")).where("n > 0")
+
+
+def contig_masks(d: Data) -> DataFrame:
+    parts = d.refs.where(F.length("seq") >= 150 + P.k2).select(F.col("seq_id").alias("part"), "seq_id", F.lit(0).cast("long").alias("start"), F.lit(150).cast("long").alias("n"))
+    return km.in_part_mask(km.next_occurrence(km.all_kmers(d.refs, ["seq_id"], 8), ["seq_id"]), parts)
+
+
+BODIES: dict[str, Callable[[Data], DataFrame]] = {
+    "seq_encode": lambda d: d.refs.select("seq_id", sq.encode(F.col("seq")).alias("seq"), sq.n_kmers(F.length("seq"), P.k).cast("long").alias("n")),
+    "seq_revcomp": lambda d: d.reads.select("rid", sq.reverse_complement(F.col("seq")).alias("seq")),
+    "kmer_explode": lambda d: d.ref_kmers().groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos"), F.min("kmer").alias("least")),
+    "kmer_pack": lambda d: km.all_kmers(d.strands, ["rid", "rc"], P.k).select("rid", "rc", "pos", sq.packed(F.col("kmer")).alias("code"), sq.unpacked(sq.packed(F.col("kmer")), P.k).alias("kmer")),
+    "kmer_histogram": lambda d: d.hist(),
+    "kmer_histogram_32": lambda d: km.histogram(d.ref_kmers(32)),
+    "count_of_counts": lambda d: km.count_of_counts(d.hist()),
+    "frequent_kmer_filter": lambda d: km.without_frequent(d.ref_kmers(), d.hist(), 8).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")),
+    "informative_windows": lambda d: ix.informative_windows(d.refs, P).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos")),
+    "read_minhash": lambda d: d.sketches().select("rid", "rc", "n_valid", *[F.col("sig")[j].alias(f"m{j}") for j in range(P.h)]),
+    "minhash_rolling": lambda d: sk.window_sketches(d.refs, d.hist(), P),
+    "minhash_projection": lambda d: sk.projected(d.sketches(), ["rid", "rc"], P, "sig"),
+    "simhash": lambda d: sk.simhash(km.kmers(d.strands, ["rid", "rc"], P.k), ["rid", "rc"]),
+    "simhash_hamming": lambda d: hamming_to_turned(d),
+    "lsh_index": lambda d: d.index(),
+    "lsh_index_by_bucket": lambda d: ix.build(d.refs, d.hist(), P, "bucket"),
+    "lsh_bucket_stats": lambda d: ix.bucket_sizes(d.index()),
+    "lsh_probe": lambda d: ix.probe(d.sketches(), d.index(), P),
+    "contig_islands": lambda d: ix.islands(ix.probe(d.sketches(), d.index(), P)),
+    "contig_filter": lambda d: d.contigs(),
+    "next_occurrence": lambda d: km.next_occurrence(d.ref_kmers(P.k2), ["seq_id"]),
+    "repeat_mask": lambda d: km.repeats(d.strands, ["rid", "rc"], 6),
+    "neighbour_mask": lambda d: km.with_neighbours(km.repeats(d.strands, ["rid", "rc"], 6), ["rid", "rc"], 6),
+    "contig_repeat_mask": contig_masks,
+    "keyed_ciphers": lambda d: ciphers(d).select("rid", "rc", "pos", "cipher"),
+    "sampled_kmers": lambda d: sampled(d, BINNED),
+    "unique_matches": lambda d: d.matches(d.tasks().cache()),
+    "vote_diagonals": lambda d: d.matches(d.tasks().cache()).groupBy(*vt.TASK, (F.col("cpos") - F.col("rpos")).alias("diag")).agg(F.count(F.lit(1)).alias("votes")),
+    "vote_discretised": lambda d: d.votes(),
+    "vote_discretised_binned": lambda d: d.votes(BINNED),
+    "vote_convolution": lambda d: vt.convolved(d.votes(), P.delta),
+    "vote_top2": lambda d: vt.top_two(vt.convolved(d.votes(), P.delta), P.exclude),
+    "rname_lookup": lambda d: finalize.lookup(d.reads.select("rid", (F.col("rid") * 997).alias("at")), finalize.offsets(d.refs), "at").select("rid", "at", "seq_id", "offset"),
+    "alignments": lambda d: d.best(),
+    "sam_records": lambda d: finalize.sam(d.best(), d.reads.select("rid", F.col("rid").cast("string").alias("name"), "seq", F.lit(None).cast("string").alias("qual")), finalize.offsets(d.refs)),
+    "communication_size": lambda d: stats.communication(ciphers(d).where("cipher is not null")),
+    "window_repeats": lambda d: stats.window_repeats(stats.window_counts(d.ref_kmers(8), P.w, 8, STEP)),
+    "repeat_fingerprints": lambda d: stats.fingerprints(stats.window_counts(d.ref_kmers(8), P.w, 8, STEP)),
+    "repeat_bins": lambda d: stats.repeat_bins(km.next_occurrence(d.ref_kmers(P.k2), ["seq_id"]), P.k2, P.interval),
+    "chain_fragments": lambda d: chaining.fragments(d.matches(d.tasks().cache()), P.k2),
+    "chain_best": lambda d: chaining.best_chain(chaining.fragments(d.matches(d.tasks().cache()), P.k2)),
+    "anchor_consensus": lambda d: chaining.consensus(d.matches(d.tasks().cache()), P.delta),
+}
+
 
-K, MIN_COUNT, MAX_COUNT, RADIUS = 12, 2, 800, 10
-
-SPARK = {"positions": "explode(sequence(1, length(seq) - {k} + 1))", "strip": "regexp_replace(text, '[^ACGTacgt]', '')", "hex": "cast(conv(substr(sha1({x}), 1, 8), 16, 10) as bigint)"}
-DUCK = {"positions": "unnest(range(1, length(seq) - {k} + 2))", "strip": "regexp_replace(text, '[^ACGTacgt]', '', 'g')", "hex": "cast('0x' || substr(sha1({x}), 1, 8) as bigint)"}
-
-
-def ctes(d: dict[str, str]) -> str:
-    spots = d["positions"].format(k=K)
-    return f"""
-with ref as (select doc_id, upper({d['strip']}) as seq from documents where text is not null),
-reads as (select item_id as rid, upper({d['strip']}) as seq from benchmark where text is not null),
-strands as (select rid, 0 as rc, seq from reads union all select rid, 1, reverse(translate(seq, 'ACGT', 'TGCA')) from reads),
-ref_at as (select doc_id, seq, {spots} as pos from ref where length(seq) >= {K}),
-ref_kmers as (select doc_id, cast(pos as bigint) as pos, substr(seq, pos, {K}) as kmer from ref_at),
-read_at as (select rid, rc, seq, {spots} as pos from strands where length(seq) >= {K}),
-read_kmers as (select rid, rc, cast(pos as bigint) as pos, substr(seq, pos, {K}) as kmer from read_at),
-hist as (select kmer, count(*) as cnt from ref_kmers group by kmer having count(*) >= {MIN_COUNT}),
-kept as (select r.* from ref_kmers r left join (select kmer from hist where cnt >= {MAX_COUNT}) f on r.kmer = f.kmer where f.kmer is null),
-uref as (select doc_id, kmer, min(pos) as pos from kept group by doc_id, kmer having count(*) = 1),
-uread as (select rid, rc, kmer, min(pos) as pos from read_kmers group by rid, rc, kmer having count(*) = 1),
-matches as (select r.rid, r.rc, c.doc_id, r.pos as rpos, c.pos as cpos, c.pos - r.pos as diag from uread r join uref c on r.kmer = c.kmer),
-votes as (select rid, rc, doc_id, diag, count(*) as votes from matches group by rid, rc, doc_id, diag),
-peaks as (select rid, rc, doc_id, diag, sum(votes) over (partition by rid, rc, doc_id order by diag range between {RADIUS} preceding and {RADIUS} following) as score from votes),
-ranked as (select p.*, row_number() over (partition by rid order by score desc, rc, doc_id, diag) as rk from peaks p),
-best as (select rid, rc, doc_id, diag, score from ranked where rk = 1),
-second as (select p.rid, max(p.score) as score from peaks p join best b on p.rid = b.rid where p.rc <> b.rc or p.doc_id <> b.doc_id or abs(p.diag - b.diag) > 50 group by p.rid),
-mean_top as (select floor(avg(score)) as m from best where score > 0)
-"""
-
-
-def bodies(d: dict[str, str]) -> dict[str, str]:
-    x = d["hex"].format(x="kmer")
-    coefficients = (2654435761, 2246822519, 3266489917, 668265263)
-    sketch = ", ".join(f"min(({a % (1 << 31)} * x) % 4294967296) as h{i}" for i, a in enumerate(coefficients))
-    count = lambda b: f"length(seq) - length(replace(seq, '{b}', '')) as n_{b.lower()}"
-    return {
-        "reverse_complement": "select rid, seq as rc_seq from strands where rc = 1",
-        "base_counts": f"select doc_id, length(seq) as len, {', '.join(map(count, 'ACGT'))} from ref",
-        "kmer_histogram": "select kmer, cnt from hist",
-        "count_of_counts": "select least(cnt, 999999) as cnt, count(*) as n from hist group by least(cnt, 999999)",
-        "frequent_kmer_filter": "select doc_id, count(*) as n_kept from kept group by doc_id",
-        "next_occurrence": "select doc_id, pos, coalesce(case when d <= 65535 then d end, 0) as next_dist from (select doc_id, pos, lead(pos) over (partition by doc_id, kmer order by pos) - pos as d from ref_kmers) t",
-        "repeat_mask": "select rid, rc, pos, count(*) over (partition by rid, rc, kmer) > 1 as masked from read_kmers",
-        "read_minhash": f"select rid, rc, {sketch} from (select rid, rc, {x} as x from read_kmers) t group by rid, rc",
-        "keyed_ciphers": f"select rid, rc, pos, ({x} * 40503) % 4294967296 as cipher from read_kmers",
-        "unique_matches": "select rid, rc, doc_id, rpos, cpos from matches",
-        "diagonal_votes": "select rid, rc, doc_id, diag, votes from votes",
-        "vote_convolution": "select rid, rc, doc_id, diag, cast(score as bigint) as score from peaks",
-        "candidate_contigs": f"""select rid, rc, doc_id, min(cpos) as start_pos, max(cpos) + {K} - min(cpos) as len, count(*) as hits from (
-            select m.*, sum(fresh) over (partition by rid, rc, doc_id order by cpos, rpos rows unbounded preceding) as island from (
-            select rid, rc, doc_id, rpos, cpos, case when cpos - lag(cpos) over (partition by rid, rc, doc_id order by cpos, rpos) <= 150 then 0 else 1 end as fresh from matches) m) t
-            group by rid, rc, doc_id, island""",
-        "alignments": """select b.rid, b.rc, b.doc_id, b.diag + 1 as ref_start, cast(b.score as bigint) as votes, cast(coalesce(s.score, 0) as bigint) as second_votes,
-            case when b.score > coalesce(s.score, 0) then cast(floor(floor(50.0 * (b.score - coalesce(s.score, 0)) / b.score) * b.score / t.m) as bigint) else 0 end as mapq
-            from best b left join second s on b.rid = s.rid cross join mean_top t""",
-        "communication_size": "select count(*) as n_tasks, cast(sum(8 * n) as bigint) as n_bytes from (select rid, rc, count(*) as n from read_kmers group by rid, rc) t",
-    }
+def hamming_to_turned(d: Data) -> DataFrame:
+    """Bits in which a read's fingerprint differs from that of its reverse complement."""
+    fp = sk.simhash(km.kmers(d.strands, ["rid", "rc"], P.k), ["rid", "rc"])
+    turned = fp.where("rc = 1").select("rid", F.col("fp").alias("other"))
+    return fp.where("rc = 0").join(turned, "rid").select("rid", sq.hamming(F.col("fp"), F.col("other")).alias("bits"))
 
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = ctes(SPARK) + bodies(SPARK)[name]
-        tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")}
-        return spark.sql(text.replace("from documents", "from {documents}").replace("from benchmark", "from {benchmark}"), **tables)
+        return BODIES[name](Data(spark, sf_dir))
 
     run.__name__ = name
     return run
 
 
-QUERIES = {name: query(name) for name in bodies(SPARK)}
-SQL = {name: ctes(DUCK) + body for name, body in bodies(DUCK).items()}
+QUERIES = {name: query(name) for name in BODIES}
