@@ -49,7 +49,7 @@ def best(refs: DataFrame, reads: DataFrame, p: AlignParams, secret: str = "s", h
     strands = tables.strands(reads)
     tasks = vt.tasks(candidates(refs, strands, p, hist, index), p)
     tasks = tasks.cache()  # few rows a read; used by both sides of the match
-    found = private_matches(refs, strands, tasks, p, secret)
+    found = private_matches(refs, strands, tasks, p, secret).cache()
     top = vt.top_two(vt.convolved(voted(found, strands, tasks, p), p.delta), p.exclude)
     merged = vt.best_of_read(vt.refined(top, found, p), finalize.offsets(refs), p.delta_x)
     return finalize.mapped(merged, p)

@@ -11,7 +11,7 @@ from helixframe.params import AlignParams
 from helixframe.plans import align, queries
 from helixframe.sources import files
 
-P = AlignParams(h=24, n_tables=12, proj_len=1, w=100)
+P = AlignParams(h=8, n_tables=4, proj_len=1, w=100)
 TURN = str.maketrans("ACGT", "TGCA")
 
 
