@@ -20,16 +20,22 @@ def tasks(contigs: DataFrame, p: AlignParams) -> DataFrame:
     return numbered.where("valid")
 
 
-def contig_kmers(contigs: DataFrame, found: DataFrame, p: AlignParams) -> DataFrame:
+def contig_kmers(contigs: DataFrame, seqs: DataFrame, p: AlignParams) -> DataFrame:
     """contig columns, cpos, kmer: every p.interval-th k-mer, or of each bin of p.bin_size the first ones in bin order.
-    found holds seq_id, pos, kmer of the references; contigs are clipped to them by the join."""
-    slots = contigs.withColumn("cpos", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("len") - p.k2, F.lit(0).cast("long")))))
+    Contigs meet the pieces of the references that they touch, which clip them; k-mers are cut behind that join."""
+    last = F.col("start") + F.greatest(F.col("len") - p.k2, F.lit(0).cast("long"))
+    spans = contigs.withColumn("piece", F.explode(F.sequence(F.floor(F.col("start") / km.PIECE), F.floor(last / km.PIECE))))
+    first = F.col("piece") * km.PIECE
+    placed = spans.join(km.pieces(seqs, ["seq_id"], p.k2), ["seq_id", "piece"])
+    placed = placed.withColumn("low", F.greatest(F.col("start"), first)).withColumn("high", F.least(last, first + F.length("part") - p.k2)).where("low <= high")
+    slots = placed.withColumn("pos", F.explode(F.sequence("low", "high"))).withColumn("cpos", F.col("pos") - F.col("start"))
     if p.bin_size == 1:
         slots = slots.where(F.col("cpos") % p.interval == 0)
     else:
         chosen = p.bin_order()[: p.bin_size // p.interval]
         slots = slots.where((F.col("cpos") % p.bin_size).isin(chosen))
-    return slots.withColumn("pos", F.col("start") + F.col("cpos")).join(found, ["seq_id", "pos"])
+    found = slots.withColumn("kmer", F.substr("part", (F.col("pos") - first + 1).cast("int"), F.lit(p.k2)))
+    return found.drop("piece", "part", "low", "high").where(~sq.ambiguous(F.col("kmer")))
 
 
 def ciphers(kmers: DataFrame, masks: DataFrame | None, keys: list[str], task: str, secret: str) -> DataFrame:
@@ -76,17 +82,18 @@ def convolved(votes: DataFrame, d: int) -> DataFrame:
 
 
 def top_two(scores: DataFrame, exclude: int) -> DataFrame:
-    """TASK, best, best_at (middle of the first plateau), second, second_at (first of its plateau, null without votes)."""
-    best = scores.groupBy(*TASK, "nr").agg(F.max("score").alias("best"))
-    top = scores.join(best, [*TASK, "nr"]).where("score = best")
-    run = F.col("at") - F.row_number().over(Window.partitionBy(*TASK).orderBy("at"))
-    plateau = top.withColumn("run", run).groupBy(*TASK, "nr", "best", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"))
-    first = plateau.groupBy(*TASK, "nr", "best").agg(F.min(F.struct("a", "b")).alias("z"))
-    mid = F.floor((F.col("z.a") + F.col("z.b") + 1 + 2 * F.col("nr")) / 2) - F.col("nr")
-    first = first.select(*TASK, "best", mid.alias("best_at"))
-    rest = scores.join(first, TASK).where(F.abs(F.col("at") - F.col("best_at")) > exclude)
-    second = rest.groupBy(*TASK).agg(F.max(F.struct("score", (-F.col("at")).alias("m"))).alias("s")).select(*TASK, F.col("s.score").alias("second"), (-F.col("s.m")).alias("second_at"))
-    return first.join(second, TASK, "left").select(*TASK, "best", "best_at", F.coalesce("second", F.lit(0).cast("long")).alias("second"), "second_at")
+    """TASK, best, best_at (middle of the first plateau), second, second_at (first of its plateau, null without votes).
+    All steps keep the partitioning by TASK."""
+    whole = Window.partitionBy(*TASK)
+    order = whole.orderBy("at")
+    at, top = F.col("at"), F.col("score") == F.col("best")
+    peak = scores.withColumn("best", F.max("score").over(whole))
+    goes_on = F.coalesce((F.lead("at").over(order) == at + 1) & (F.lead("score").over(order) == F.col("best")), F.lit(False))
+    ends = peak.withColumn("goes_on", goes_on).withColumn("a", F.min(F.when(top, at)).over(whole)).withColumn("b", F.min(F.when(top & ~F.col("goes_on"), at)).over(whole))
+    mid = F.floor((F.col("a") + F.col("b") + 1 + 2 * F.col("nr")) / 2) - F.col("nr")
+    far = F.when(F.abs(at - F.col("best_at")) > exclude, F.struct("score", (-at).alias("m")))
+    both = ends.withColumn("best_at", mid).groupBy(*TASK, "best", "best_at").agg(F.max(far).alias("s"))
+    return both.select(*TASK, "best", "best_at", F.coalesce("s.score", F.lit(0).cast("long")).alias("second"), (-F.col("s.m")).alias("second_at"))
 
 
 def refined(best: DataFrame, found: DataFrame, p: AlignParams) -> DataFrame:

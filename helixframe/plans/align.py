@@ -8,23 +8,29 @@ from pyspark.sql import functions as F
 from helixframe.operators import finalize, index as ix, kmers as km, sketch as sk, voting as vt
 from helixframe.params import AlignParams
 from helixframe.sources import files, tables
+from helixframe.sources.shared import forget, written
 
 
 def histogram(refs: DataFrame, p: AlignParams) -> DataFrame:
     return km.histogram(km.kmers(refs, ["seq_id"], p.k))
 
 
+def frequent(refs: DataFrame, p: AlignParams, hist: DataFrame | None = None) -> DataFrame:
+    """The rows of the histogram that filters need, at most one in p.max_count positions; stored, as reads and windows ask it."""
+    return written((histogram(refs, p) if hist is None else hist).where(F.col("cnt") >= p.max_count), "frequent")
+
+
 def candidates(refs: DataFrame, strands: DataFrame, p: AlignParams, hist: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
-    hist = histogram(refs, p) if hist is None else hist
-    index = ix.build(refs, hist, p) if index is None else index
+    hist = frequent(refs, p, hist)
+    index = written(ix.build(refs, hist, p), "index") if index is None else index
     hits = ix.probe(sk.read_sketches(strands, hist, p), index, p)
     return ix.filtered(ix.islands(hits), strands.where("rc = 0").select("rid", F.length("seq").alias("read_len")), p)
 
 
 def contig_kmers(refs: DataFrame, tasks: DataFrame, p: AlignParams) -> DataFrame:
-    """Only references with a contig are cut into k-mers."""
+    """Only references with a contig are cut into pieces."""
     near = refs.join(tasks.select("seq_id").distinct(), "seq_id", "left_semi")
-    return vt.contig_kmers(tasks, km.kmers(near, ["seq_id"], p.k2), p)
+    return vt.contig_kmers(tasks, near, p)
 
 
 def private_matches(refs: DataFrame, strands: DataFrame, tasks: DataFrame, p: AlignParams, secret: str) -> DataFrame:
@@ -33,7 +39,8 @@ def private_matches(refs: DataFrame, strands: DataFrame, tasks: DataFrame, p: Al
     if p.mask_neighbours:
         masks = km.with_neighbours(masks, ["rid", "rc"], p.k2)
     own = km.kmers(strands, ["rid", "rc"], p.k2).join(tasks.select("rid", "rc", "task").distinct(), ["rid", "rc"])
-    own = vt.ciphers(own, masks, ["rid", "rc", "pos"], "task", secret).where("cipher is not null").select("task", F.col("pos").alias("rpos"), "cipher")
+    own = own.join(masks.where("masked").select("rid", "rc", "pos"), ["rid", "rc", "pos"], "left_anti")
+    own = vt.ciphers(own, None, [], "task", secret).select("task", F.col("pos").alias("rpos"), "cipher")
     other = vt.ciphers(contig_kmers(refs, tasks, p), None, [], "task", secret)
     other = vt.unique(other.select(*vt.TASK, "task", "cid", "cpos", "cipher"), vt.TASK, "cipher")
     return other.join(vt.unique(own, ["task"], "cipher"), ["task", "cipher"]).select(*vt.TASK, "rpos", "cpos")
@@ -47,11 +54,12 @@ def voted(found: DataFrame, strands: DataFrame, tasks: DataFrame, p: AlignParams
 def best(refs: DataFrame, reads: DataFrame, p: AlignParams, secret: str = "s", hist: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """rid, rc, ref_start (over all references one after the other), votes, second_votes, second_start, batch, mapq."""
     strands = tables.strands(reads)
-    tasks = vt.tasks(candidates(refs, strands, p, hist, index), p)
-    tasks = tasks.cache()  # few rows a read; used by both sides of the match
-    found = private_matches(refs, strands, tasks, p, secret).cache()
-    top = vt.top_two(vt.convolved(voted(found, strands, tasks, p), p.delta), p.exclude)
-    merged = vt.best_of_read(vt.refined(top, found, p), finalize.offsets(refs), p.delta_x)
+    # stored, as several steps read them: a stage lost with its executor starts from there
+    tasks = written(vt.tasks(candidates(refs, strands, p, hist, index), p), "tasks")
+    found = written(private_matches(refs, strands, tasks, p, secret), "matches")
+    top = written(vt.top_two(vt.convolved(voted(found, strands, tasks, p), p.delta), p.exclude), "top")
+    merged = written(vt.best_of_read(vt.refined(top, found, p), finalize.offsets(refs), p.delta_x), "best")
+    forget(tasks, found, top)
     return finalize.mapped(merged, p)
 
 

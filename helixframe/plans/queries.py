@@ -13,6 +13,7 @@ from helixframe.operators import chaining, finalize, index as ix, kmers as km, s
 from helixframe.params import AlignParams
 from helixframe.plans import align
 from helixframe.sources import tables
+from helixframe.sources.shared import written
 
 P = AlignParams(h=8, n_tables=4, proj_len=1)
 BINNED = AlignParams(h=8, n_tables=4, proj_len=1, bin_size=20, interval=3)
@@ -27,6 +28,7 @@ class Data:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.refs, self.reads = tables.references(spark, sf_dir), tables.reads(spark, sf_dir)
         self.strands = tables.strands(self.reads)
+        self._frequent: DataFrame | None = None
 
     def ref_kmers(self, k: int = P.k) -> DataFrame:
         return km.kmers(self.refs, ["seq_id"], k)
@@ -35,22 +37,30 @@ class Data:
         return km.histogram(self.ref_kmers())
 
     def sketches(self) -> DataFrame:
-        return sk.read_sketches(self.strands, self.hist(), P)
+        return sk.read_sketches(self.strands, self.frequent(), P)
+
+    def frequent(self) -> DataFrame:
+        if self._frequent is None:
+            self._frequent = align.frequent(self.refs, P)
+        return self._frequent
 
     def index(self) -> DataFrame:
-        return ix.build(self.refs, self.hist(), P)
+        return ix.build(self.refs, self.frequent(), P)
+
+    def probed(self) -> DataFrame:
+        return ix.probe(self.sketches(), written(self.index(), "index"), P)
 
     def contigs(self) -> DataFrame:
-        return align.candidates(self.refs, self.strands, P)
+        return align.candidates(self.refs, self.strands, P, self.frequent())
 
     def tasks(self) -> DataFrame:
-        return vt.tasks(self.contigs(), P)
+        return written(vt.tasks(self.contigs(), P), "tasks")
 
     def matches(self, tasks: DataFrame) -> DataFrame:
         return vt.matches(km.kmers(self.strands, ["rid", "rc"], P.k2), align.contig_kmers(self.refs, tasks, P))
 
     def votes(self, p: AlignParams = P) -> DataFrame:
-        tasks = self.tasks().cache()
+        tasks = self.tasks()
         return align.voted(self.matches(tasks), self.strands, tasks, p)
 
     def best(self) -> DataFrame:
@@ -83,15 +93,15 @@ BODIES: dict[str, Callable[[Data], DataFrame]] = {
     "frequent_kmer_filter": lambda d: km.without_frequent(d.ref_kmers(), d.hist(), 8).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")),
     "informative_windows": lambda d: ix.informative_windows(d.refs, P).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos")),
     "read_minhash": lambda d: d.sketches().select("rid", "rc", "n_valid", *[F.col("sig")[j].alias(f"m{j}") for j in range(P.h)]),
-    "minhash_rolling": lambda d: sk.window_sketches(d.refs, d.hist(), P),
+    "minhash_rolling": lambda d: sk.window_sketches(d.refs, d.frequent(), P),
     "minhash_projection": lambda d: sk.projected(d.sketches(), ["rid", "rc"], P, "sig"),
     "simhash": lambda d: sk.simhash(km.kmers(d.strands, ["rid", "rc"], P.k), ["rid", "rc"]),
     "simhash_hamming": lambda d: hamming_to_turned(d),
     "lsh_index": lambda d: d.index(),
-    "lsh_index_by_bucket": lambda d: ix.build(d.refs, d.hist(), P, "bucket"),
+    "lsh_index_by_bucket": lambda d: ix.build(d.refs, d.frequent(), P, "bucket"),
     "lsh_bucket_stats": lambda d: ix.bucket_sizes(d.index()),
-    "lsh_probe": lambda d: ix.probe(d.sketches(), d.index(), P),
-    "contig_islands": lambda d: ix.islands(ix.probe(d.sketches(), d.index(), P)),
+    "lsh_probe": lambda d: d.probed(),
+    "contig_islands": lambda d: ix.islands(d.probed()),
     "contig_filter": lambda d: d.contigs(),
     "next_occurrence": lambda d: km.next_occurrence(d.ref_kmers(P.k2), ["seq_id"]),
     "repeat_mask": lambda d: km.repeats(d.strands, ["rid", "rc"], 6),
@@ -99,8 +109,8 @@ BODIES: dict[str, Callable[[Data], DataFrame]] = {
     "contig_repeat_mask": contig_masks,
     "keyed_ciphers": lambda d: ciphers(d).select("rid", "rc", "pos", "cipher"),
     "sampled_kmers": lambda d: sampled(d, BINNED),
-    "unique_matches": lambda d: d.matches(d.tasks().cache()),
-    "vote_diagonals": lambda d: d.matches(d.tasks().cache()).groupBy(*vt.TASK, (F.col("cpos") - F.col("rpos")).alias("diag")).agg(F.count(F.lit(1)).alias("votes")),
+    "unique_matches": lambda d: d.matches(d.tasks()),
+    "vote_diagonals": lambda d: d.matches(d.tasks()).groupBy(*vt.TASK, (F.col("cpos") - F.col("rpos")).alias("diag")).agg(F.count(F.lit(1)).alias("votes")),
     "vote_discretised": lambda d: d.votes(),
     "vote_discretised_binned": lambda d: d.votes(BINNED),
     "vote_convolution": lambda d: vt.convolved(d.votes(), P.delta),
@@ -112,9 +122,9 @@ BODIES: dict[str, Callable[[Data], DataFrame]] = {
     "window_repeats": lambda d: stats.window_repeats(stats.window_counts(d.ref_kmers(8), P.w, 8, STEP)),
     "repeat_fingerprints": lambda d: stats.fingerprints(stats.window_counts(d.ref_kmers(8), P.w, 8, STEP)),
     "repeat_bins": lambda d: stats.repeat_bins(km.next_occurrence(d.ref_kmers(P.k2), ["seq_id"]), P.k2, P.interval),
-    "chain_fragments": lambda d: chaining.fragments(d.matches(d.tasks().cache()), P.k2),
-    "chain_best": lambda d: chaining.best_chain(chaining.fragments(d.matches(d.tasks().cache()), P.k2)),
-    "anchor_consensus": lambda d: chaining.consensus(d.matches(d.tasks().cache()), P.delta),
+    "chain_fragments": lambda d: chaining.fragments(d.matches(d.tasks()), P.k2),
+    "chain_best": lambda d: chaining.best_chain(chaining.fragments(d.matches(d.tasks()), P.k2)),
+    "anchor_consensus": lambda d: chaining.consensus(d.matches(d.tasks()), P.delta),
 }
 
 

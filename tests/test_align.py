@@ -43,7 +43,6 @@ def test_files(spark, written):
         files.fastq(spark, str(folder / "bad.fq")).collect()
 
 
-@pytest.mark.skip(reason="open: planning of the whole chain over files runs out of the default driver heap of 1 GB")
 def test_reads_are_found_again(spark, written):
     folder, _ = written
     refs, reads = files.fasta(spark, str(folder / "ref.fa")), files.fastq(spark, str(folder / "fq"))
