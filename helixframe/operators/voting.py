@@ -34,7 +34,7 @@ def contig_kmers(contigs: DataFrame, seqs: DataFrame, p: AlignParams) -> DataFra
     else:
         chosen = p.bin_order()[: p.bin_size // p.interval]
         slots = slots.where((F.col("cpos") % p.bin_size).isin(chosen))
-    found = slots.withColumn("kmer", F.substr("part", (F.col("pos") - first + 1).cast("int"), F.lit(p.k2)))
+    found = slots.withColumn("kmer", F.substr("part", (F.col("pos") - first + 1).cast("int"), F.lit(p.k2)).cast("string"))
     return found.drop("piece", "part", "low", "high").where(~sq.ambiguous(F.col("kmer")))
 
 

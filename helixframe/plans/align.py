@@ -12,7 +12,7 @@ from helixframe.sources.shared import forget, written
 
 
 def histogram(refs: DataFrame, p: AlignParams) -> DataFrame:
-    return km.histogram(km.kmers(refs, ["seq_id"], p.k))
+    return km.spelled(km.coded_counts(refs, "seq_id", p.k), p.k)
 
 
 def frequent(refs: DataFrame, p: AlignParams, hist: DataFrame | None = None) -> DataFrame:

@@ -7,10 +7,26 @@ import re
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that Python workers import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        path = Path(tempfile.mkdtemp()) / "helixframe_engine.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted((root / "helixframe").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        spark.sparkContext.addPyFile(str(path))
+        _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:

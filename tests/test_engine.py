@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from helixframe.operators import kmers as km
 from helixframe.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +23,36 @@ def test_matches_sql(spark, name):
     rows = Counter(map(tuple, got.select(*cols).collect()))
     assert rows == Counter(con.sql(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({oracles.SQL[name]}) q").fetchall())
     assert rows
+
+
+def made(spark):
+    """Sequences with N, repeats, none, one short one, and an id that two rows share."""
+    import random
+
+    r = random.Random(3)
+    seqs = ["".join(r.choice("ACGT" * 8 + "N") for _ in range(n)) for n in (700, 40, 5, 0, 900, 300, 300)]
+    seqs[4] = seqs[4][:300] * 3 + "A" * 60
+    return spark.createDataFrame(list(enumerate(seqs)) + [(1, seqs[0][:80])], "seq_id long, seq string")
+
+
+@pytest.mark.parametrize("k", [1, 7, 16, 20, 32])
+def test_codes_count_as_strings(spark, k, monkeypatch):
+    """Counts by code, in chunks of few letters, are those of the strings; frequent k-mers sent in parts are all left out."""
+    monkeypatch.setattr(km, "SENT", 5)
+    seqs = made(spark)
+    plain = km.kmers(seqs, ["seq_id"], k)
+    counts = km.coded_counts(seqs, "seq_id", k)
+    assert Counter(map(tuple, km.spelled(counts, k).collect())) == Counter(map(tuple, km.histogram(plain).collect()))
+    want = km.without_frequent(plain, km.histogram(plain), 3).groupBy("seq_id").count()
+    assert sorted(map(tuple, km.count_without_frequent(seqs, "seq_id", k, counts, 3).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("whole", [500, 1 << 22])
+def test_next_occurrence_of_whole_sequences(spark, whole, monkeypatch):
+    """Sequences taken as a whole, long ones and those that share an id agree with the window over k-mers; whole ones need no window."""
+    monkeypatch.setattr(km, "WHOLE", whole)
+    seqs = made(spark)
+    got, want = km.next_occurrence_of(seqs, "seq_id", 6), km.next_occurrence(km.kmers(seqs, ["seq_id"], 6), ["seq_id"])
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    alone = km.next_occurrence_of(seqs.where("seq_id <> 1"), "seq_id", 6)
+    assert ("Window" in alone._jdf.queryExecution().toString()) == (whole == 500)
