@@ -137,3 +137,41 @@ def informative(data: np.ndarray, w: int) -> np.ndarray:
         else:
             absent, rare = absent + (count < 1), rare + (count < 5)
     return n & (absent <= 1) & (rare <= 1)
+
+
+def window_minima(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, k: int, w: int, coefficients: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Row, position, place and minima of each window of w letters with a valid k-mer: without N and not among the frequent."""
+    row, pos, at = places(offsets, w)
+    if not len(at):
+        return row, pos, at, [pos] * len(coefficients)
+    code = rolled(data, k)
+    valid = plain(data, k) & ~member(code, frequent)
+    x = np.zeros(len(code), np.int64)
+    x[valid] = hash32(code[valid], k) if valid.any() else 0
+    least = [sliding_least(np.where(valid, low_product(a, x), NONE), w - k + 1)[at] for a in coefficients]
+    keep = least[0] < NONE
+    return row[keep], pos[keep], at[keep], [m[keep] for m in least]
+
+
+def window_runs(data: np.ndarray, offsets: np.ndarray, k: int, w: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and start of the windows that begin every step letters and hold a k-mer without N; of each run of equal k-mers in one
+    of them the number of its window and its length, by window."""
+    size = np.maximum(0, np.diff(offsets) - k + 1)
+    n = -(-size // step)
+    row = np.repeat(np.arange(len(n)), n)
+    win = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * step
+    if not len(row):
+        return row, win, row, row
+    width, none = w - k + 1, 1 << 20
+    off = np.arange(width)
+    at = np.minimum((offsets[row] + win)[:, None] + off, len(data) - k)
+    valid = (win[:, None] + off < size[row][:, None]) & plain(data, k)[at]
+    each = np.sort(np.where(valid, rolled(data, k)[at].astype(np.int64), none + off), 1)
+    some = valid.any(1)
+    row, win, each = row[some], win[some], each[some]
+    new = np.ones(each.shape, bool)
+    new[:, 1:] = each[:, 1:] != each[:, :-1]
+    start = np.flatnonzero(new)
+    length = np.diff(np.append(start, each.size))
+    real = each.ravel()[start] < none
+    return row, win, start[real] // width, length[real]

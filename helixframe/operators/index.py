@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.functions import sequence as sq
-from helixframe.operators import sketch as sk
+from helixframe.functions import codes, sequence as sq
+from helixframe.operators import kmers as km, sketch as sk
 from helixframe.params import AlignParams
 
 
 def informative_windows(seqs: DataFrame, p: AlignParams) -> DataFrame:
-    """seq_id, pos of the windows that hold enough different bases: counts slide with the window as running sums."""
-    from helixframe.operators import kmers as km
+    """seq_id, pos of the windows that hold enough different bases."""
 
+    def kernel(data, offsets):
+        row, pos, at = codes.places(offsets, p.w)
+        keep = codes.informative(data, p.w)[at]
+        return row[keep], [pos[keep]]
+
+    return km.both(seqs, "seq_id", lambda s: km.local(s, "seq_id", "pos long", kernel), lambda s: slid_informative(s, p))
+
+
+def slid_informative(seqs: DataFrame, p: AlignParams) -> DataFrame:
+    """The same for sequences that no task holds as a whole: counts slide with the window as running sums."""
     base = km.all_kmers(seqs, ["seq_id"], 1)
     order = Window.partitionBy("seq_id", "stretch").orderBy("pos")
     per = sk.STRETCH
@@ -38,9 +48,35 @@ def compacted(rows: DataFrame, by: str = "proj") -> DataFrame:
 
 
 def build(seqs: DataFrame, hist: DataFrame, p: AlignParams, by: str = "proj") -> DataFrame:
-    """The index over informative windows with a valid k-mer."""
-    sketches = sk.window_sketches(seqs, hist, p).join(informative_windows(seqs, p), ["seq_id", "pos"], "left_semi")
-    return compacted(sk.projected(sketches, ["seq_id", "pos"], p), by)
+    """The index over informative windows with a valid k-mer; a worker that has a whole sequence gives its runs."""
+    sent = km.sent_codes(hist, p.max_count, p.k)
+    coefficients, tables, weights = p.minhash_coefficients(), p.projections(), p.projection_coefficients()
+
+    def kernel(data, offsets):
+        row, pos, at, least = codes.window_minima(data, offsets, sent.value, p.k, p.w, coefficients)
+        if len(at):
+            keep = codes.informative(data, p.w)[at]
+            row, pos, least = row[keep], pos[keep], [m[keep] for m in least]
+        rows, out = [], []
+        for t, idx in enumerate(tables):
+            proj = sum((codes.low_product(c, least[i]) for c, i in zip(weights, idx, strict=True)), np.zeros(len(pos), np.int64)) & sq.LOW32
+            bucket = proj >> (32 - p.buckets_pow2)
+            same = proj if by == "proj" else bucket
+            new = np.ones(len(pos), bool)
+            new[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | (same[1:] != same[:-1])
+            f = np.flatnonzero(new)
+            rows.append(row[f])
+            out.append([np.full(len(f), t, np.int32), bucket[f].astype(np.int32), proj[f], pos[f], np.diff(np.append(f, len(pos)))])
+        return np.concatenate(rows), [np.concatenate(c) for c in zip(*out, strict=True)]
+
+    def slid(s: DataFrame) -> DataFrame:
+        sketches = sk.slid_sketches(s, hist, p).join(slid_informative(s, p), ["seq_id", "pos"], "left_semi")
+        return compacted(sk.projected(sketches, ["seq_id", "pos"], p), by)
+
+    if sent is None:
+        return slid(seqs)
+    near = lambda s: km.local(s, "seq_id", "tbl int, bucket int, proj long, pos long, len long", kernel).select("tbl", "bucket", "proj", "seq_id", "pos", "len")
+    return km.both(seqs, "seq_id", near, slid)
 
 
 def bucket_sizes(index: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.functions import sequence as sq
+from helixframe.functions import codes, sequence as sq
 from helixframe.operators import kmers as km
 from helixframe.params import AlignParams
 
@@ -22,7 +22,22 @@ def read_sketches(reads: DataFrame, hist: DataFrame, p: AlignParams, keys: tuple
 
 
 def window_sketches(seqs: DataFrame, hist: DataFrame, p: AlignParams, key: str = "seq_id") -> DataFrame:
-    """key, pos, m0...: the minima of each window with a valid k-mer. A sliding minimum is the lesser of a suffix minimum of its
+    """key, pos, m0...: the minima of each window with a valid k-mer; within a worker where it can have the whole sequence."""
+    sent = km.sent_codes(hist, p.max_count, p.k)
+    if sent is None:
+        return slid_sketches(seqs, hist, p, key)
+    coefficients = p.minhash_coefficients()
+
+    def kernel(data, offsets):
+        row, pos, _, least = codes.window_minima(data, offsets, sent.value, p.k, p.w, coefficients)
+        return row, [pos, *least]
+
+    schema = ", ".join(["pos long", *[f"m{j} long" for j in range(p.h)]])
+    return km.both(seqs, key, lambda s: km.local(s, key, schema, kernel), lambda s: slid_sketches(s, hist, p, key))
+
+
+def slid_sketches(seqs: DataFrame, hist: DataFrame, p: AlignParams, key: str = "seq_id") -> DataFrame:
+    """The same by windows over rows of k-mers, for sequences that no task holds as a whole. A sliding minimum is the lesser of a suffix minimum of its
     block and a prefix minimum of the next one, so a row costs the same however wide the window is."""
     width = p.w - p.k + 1
     per = STRETCH // width * width
