@@ -3,7 +3,6 @@ local to a sequence (next occurrences, sliding counts and minima). A chunk holds
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,12 +99,31 @@ def next_same(row: np.ndarray, code: np.ndarray) -> np.ndarray:
     return out
 
 
-def hash32(code: np.ndarray, k: int) -> np.ndarray:
-    """The first 32 bits of SHA-1 of each k-mer; equal ones are hashed once."""
-    values, back = np.unique(code, return_inverse=True)
-    text = spelled(values, k).cast(pa.binary()).to_pylist()
-    sha = hashlib.sha1
-    return np.frombuffer(b"".join([sha(x).digest()[:4] for x in text]), ">u4").astype(np.int64)[back]
+def hash32(text: np.ndarray) -> np.ndarray:
+    """The first 32 bits of SHA-1 of each row of at most 55 bytes, all rows of a block in step."""
+    out = np.empty(len(text), np.int64)
+    turned = lambda x, r: x << np.uint32(r) | x >> np.uint32(32 - r)
+    first = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476, 0xC3D2E1F0)
+    for at in range(0, len(text), 8192):
+        rows = text[at : at + 8192]
+        block = np.zeros((len(rows), 64), np.uint8)
+        block[:, : rows.shape[1]] = rows
+        block[:, rows.shape[1]] = 0x80
+        block[:, 62:] = divmod(8 * rows.shape[1], 256)
+        words = list(np.ascontiguousarray(block.view(">u4").astype(np.uint32).T))
+        for t in range(16, 80):
+            words.append(turned(words[t - 3] ^ words[t - 8] ^ words[t - 14] ^ words[t - 16], 1))
+        a, b, c, d, e = (np.full(len(rows), x, np.uint32) for x in first)
+        for t, word in enumerate(words):
+            if t < 20:
+                f, constant = d ^ (b & (c ^ d)), 0x5A827999
+            elif 40 <= t < 60:
+                f, constant = (b & c) | (d & (b | c)), 0x8F1BBCDC
+            else:
+                f, constant = b ^ c ^ d, 0x6ED9EBA1 if t < 40 else 0xCA62C1D6
+            a, b, c, d, e = turned(a, 5) + f + e + np.uint32(constant) + word, a, turned(b, 30), c, d
+        out[at : at + 8192] = a + np.uint32(first[0])
+    return out
 
 
 def low_product(a: int, x: np.ndarray) -> np.ndarray:
@@ -147,7 +165,7 @@ def window_minima(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, k
     code = rolled(data, k)
     valid = plain(data, k) & ~member(code, frequent)
     x = np.zeros(len(code), np.int64)
-    x[valid] = hash32(code[valid], k) if valid.any() else 0
+    x[valid] = hash32(np.lib.stride_tricks.sliding_window_view(data, k)[valid])
     least = [sliding_least(np.where(valid, low_product(a, x), NONE), w - k + 1)[at] for a in coefficients]
     keep = least[0] < NONE
     return row[keep], pos[keep], at[keep], [m[keep] for m in least]

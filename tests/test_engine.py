@@ -1,11 +1,15 @@
 """Every engine query against independent SQL in a second engine."""
 
+import hashlib
 from collections import Counter
+from dataclasses import replace
 
 import duckdb
+import numpy as np
 import pytest
 
-from helixframe.operators import kmers as km
+from helixframe.functions import codes
+from helixframe.operators import index as ix, kmers as km, stats
 from helixframe.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +60,22 @@ def test_next_occurrence_of_whole_sequences(spark, whole, monkeypatch):
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
     alone = km.next_occurrence_of(seqs.where("seq_id <> 1"), "seq_id", 6)
     assert ("Window" in alone._jdf.queryExecution().toString()) == (whole == 500)
+
+
+def test_hashes_in_step():
+    """SHA-1 of many k-mers at once is that of the library, for all lengths and over block edges."""
+    for k in (1, 16, 32, 55):
+        text = np.random.default_rng(k).integers(0, 256, (8200, k)).astype(np.uint8)
+        assert codes.hash32(text).tolist() == [int.from_bytes(hashlib.sha1(x.tobytes()).digest()[:4], "big") for x in text]
+    assert len(codes.hash32(np.zeros((0, 16), np.uint8))) == 0
+
+
+def test_windows_of_whole_sequences(spark, monkeypatch):
+    """Index and repeats of sequences taken as a whole are those of windows over rows, also with frequent k-mers and shared ids."""
+    p, seqs = replace(queries.P, w=100, max_count=3), made(spark)
+    hist = km.spelled(km.coded_counts(seqs, "seq_id", p.k), p.k)
+    got = []
+    for whole in (1 << 22, 0):
+        monkeypatch.setattr(km, "WHOLE", whole)
+        got.append([Counter(map(tuple, x.collect())) for x in (ix.build(seqs, hist, p), stats.window_repeats_of(seqs, 100, 8, 32), stats.fingerprints_of(seqs, 100, 8, 32))])
+    assert got[0] == got[1] and all(got[0])
