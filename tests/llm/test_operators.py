@@ -213,3 +213,27 @@ def test_equal_runs_of_fuzzy_copies(spark):
     assert (2, 1, 1, 101, 1, 99) in got and (3, 1, 2, 102, 1, 99) in got
     assert any(r[:2] == (3, 2) and r[2] <= 3 and r[3] >= 102 for r in got), got
     assert {w for d, _, s, e, _, _ in got if d == 5 for w in range(s, e)} == set(range(2, 302)) and len(got) < 20
+
+
+def test_telling_seeds_meet_every_possible_pair():
+    """Documents of 60 words; one seed is held by all, and pairs that share only such seeds need not meet."""
+    sd, r = substring_dedup, np.random.default_rng(3)
+    docs = []
+    for _ in range(60):
+        pool = r.integers(0, 4) * 1000
+        h = np.where(r.random(56) < 0.85, pool + np.arange(56), 10_000 + r.integers(0, 5000, 56))
+        h[r.integers(0, 50)] = 77
+        docs.append(h.astype(np.int64))
+    holding = {int(v): sum(int((d == v).any()) for d in docs) for v in np.unique(np.concatenate(docs))}
+    told, packs = [], []
+    for d in docs:
+        each = np.unique(d)
+        keep = sd.telling([np.flatnonzero(d == v) for v in each], [holding[int(v)] for v in each])
+        told.append({int(v) for v, k in zip(each, keep, strict=True) if k})
+        o = np.argsort(d, kind="stable")
+        packs.append((d[o], o.astype(np.int32)))
+    pairs = [(i, j) for i in range(60) for j in range(i)]
+    possible = {(i, j) for i, j in pairs if sd.may_pass(*packs[i], *packs[j])}
+    met = {(i, j) for i, j in pairs if told[i] & set(docs[j].tolist())}
+    assert possible and possible <= met
+    assert len(met) < len({(i, j) for i, j in pairs if set(docs[i].tolist()) & set(docs[j].tolist())})
