@@ -10,7 +10,8 @@ import pyarrow as pa
 
 #: Letters that a kernel takes at a time, about; one longer row is a chunk of its own.
 CHUNK = 1 << 18
-NONE = np.int64(1 << 32)
+#: Rows that are hashed in step.
+STEP = 1 << 14
 _BASES = np.frombuffer(b"AGCT", np.uint8)
 _CODE = np.zeros(256, np.uint64)
 _CODE[_BASES] = range(4)
@@ -100,29 +101,53 @@ def next_same(row: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 def hash32(text: np.ndarray) -> np.ndarray:
-    """The first 32 bits of SHA-1 of each row of at most 55 bytes, all rows of a block in step."""
+    """The first 32 bits of SHA-1 of each row of at most 55 bytes, all rows of a block in step, in buffers that stay in the cache."""
     out = np.empty(len(text), np.int64)
-    turned = lambda x, r: x << np.uint32(r) | x >> np.uint32(32 - r)
     first = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476, 0xC3D2E1F0)
-    for at in range(0, len(text), 8192):
-        rows = text[at : at + 8192]
+    for at in range(0, len(text), STEP):
+        rows = text[at : at + STEP]
         block = np.zeros((len(rows), 64), np.uint8)
         block[:, : rows.shape[1]] = rows
         block[:, rows.shape[1]] = 0x80
         block[:, 62:] = divmod(8 * rows.shape[1], 256)
-        words = list(np.ascontiguousarray(block.view(">u4").astype(np.uint32).T))
-        for t in range(16, 80):
-            words.append(turned(words[t - 3] ^ words[t - 8] ^ words[t - 14] ^ words[t - 16], 1))
+        words = np.ascontiguousarray(block.view(">u4").astype(np.uint32).T)
         a, b, c, d, e = (np.full(len(rows), x, np.uint32) for x in first)
-        for t, word in enumerate(words):
+        f, g = np.empty_like(a), np.empty_like(a)
+        for t in range(80):
+            word = words[t % 16]
+            if t > 15:
+                for x in (t - 3, t - 8, t - 14):
+                    np.bitwise_xor(word, words[x % 16], out=word)
+                np.right_shift(word, np.uint32(31), out=f)
+                np.left_shift(word, np.uint32(1), out=word)
+                np.bitwise_or(word, f, out=word)
             if t < 20:
-                f, constant = d ^ (b & (c ^ d)), 0x5A827999
+                np.bitwise_xor(c, d, out=f)
+                np.bitwise_and(f, b, out=f)
+                np.bitwise_xor(f, d, out=f)
+                constant = 0x5A827999
             elif 40 <= t < 60:
-                f, constant = (b & c) | (d & (b | c)), 0x8F1BBCDC
+                np.bitwise_or(b, c, out=f)
+                np.bitwise_and(f, d, out=f)
+                np.bitwise_and(b, c, out=g)
+                np.bitwise_or(f, g, out=f)
+                constant = 0x8F1BBCDC
             else:
-                f, constant = b ^ c ^ d, 0x6ED9EBA1 if t < 40 else 0xCA62C1D6
-            a, b, c, d, e = turned(a, 5) + f + e + np.uint32(constant) + word, a, turned(b, 30), c, d
-        out[at : at + 8192] = a + np.uint32(first[0])
+                np.bitwise_xor(b, c, out=f)
+                np.bitwise_xor(f, d, out=f)
+                constant = 0x6ED9EBA1 if t < 40 else 0xCA62C1D6
+            np.add(e, f, out=e)
+            np.add(e, word, out=e)
+            np.add(e, np.uint32(constant), out=e)
+            np.left_shift(a, np.uint32(5), out=f)
+            np.add(e, f, out=e)
+            np.right_shift(a, np.uint32(27), out=f)
+            np.add(e, f, out=e)
+            np.right_shift(b, np.uint32(2), out=f)
+            np.left_shift(b, np.uint32(30), out=b)
+            np.bitwise_or(b, f, out=b)
+            a, b, c, d, e = e, a, b, c, d
+        out[at : at + STEP] = a + np.uint32(first[0])
     return out
 
 
@@ -132,16 +157,13 @@ def low_product(a: int, x: np.ndarray) -> np.ndarray:
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each width entries in a row: of a suffix minimum of its block and a prefix minimum of the next one."""
-    n = len(x)
-    if n < width:
+    """The least of each width entries in a row, by widths that double."""
+    if len(x) < width:
         return x[:0]
-    blocks = np.full(-(-n // width) * width, NONE)
-    blocks[:n] = x
-    blocks = blocks.reshape(-1, width)
-    up = np.minimum.accumulate(blocks, 1).ravel()
-    down = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(down[: n - width + 1], up[width - 1 : n])
+    w = 1
+    while 2 * w <= width:
+        x, w = np.minimum(x[:-w], x[w:]), 2 * w
+    return np.minimum(x[: len(x) - width + w], x[width - w :]) if w < width else x
 
 
 def informative(data: np.ndarray, w: int) -> np.ndarray:
@@ -164,11 +186,17 @@ def window_minima(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, k
         return row, pos, at, [pos] * len(coefficients)
     code = rolled(data, k)
     valid = plain(data, k) & ~member(code, frequent)
-    x = np.zeros(len(code), np.int64)
+    x, width, least = np.zeros(len(code), np.uint32), w - k + 1, []
     x[valid] = hash32(np.lib.stride_tricks.sliding_window_view(data, k)[valid])
-    least = [sliding_least(np.where(valid, low_product(a, x), NONE), w - k + 1)[at] for a in coefficients]
-    keep = least[0] < NONE
-    return row[keep], pos[keep], at[keep], [m[keep] for m in least]
+    held = np.concatenate([[0], np.cumsum(valid)])
+    keep = held[at + width] > held[at]
+    row, pos, at = row[keep], pos[keep], at[keep]
+    for a in coefficients:
+        # 32 bits wrap by themselves; what isn't valid is never less than what is
+        product = x * np.uint32(a)
+        product[~valid] = 0xFFFFFFFF
+        least.append(sliding_least(product, width)[at].astype(np.int64))
+    return row, pos, at, least
 
 
 def window_runs(data: np.ndarray, offsets: np.ndarray, k: int, w: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

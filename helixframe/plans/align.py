@@ -17,7 +17,9 @@ def histogram(refs: DataFrame, p: AlignParams) -> DataFrame:
 
 def frequent(refs: DataFrame, p: AlignParams, hist: DataFrame | None = None) -> DataFrame:
     """The rows of the histogram that filters need, at most one in p.max_count positions; stored, as reads and windows ask it."""
-    return written((histogram(refs, p) if hist is None else hist).where(F.col("cnt") >= p.max_count), "frequent")
+    if hist is None:
+        hist = km.spelled(km.frequent_counts(refs, "seq_id", p.k, p.max_count), p.k)
+    return written(hist.where(F.col("cnt") >= p.max_count), "frequent")
 
 
 def candidates(refs: DataFrame, strands: DataFrame, p: AlignParams, hist: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:

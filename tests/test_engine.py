@@ -79,3 +79,29 @@ def test_windows_of_whole_sequences(spark, monkeypatch):
         monkeypatch.setattr(km, "WHOLE", whole)
         got.append([Counter(map(tuple, x.collect())) for x in (ix.build(seqs, hist, p), stats.window_repeats_of(seqs, 100, 8, 32), stats.fingerprints_of(seqs, 100, 8, 32))])
     assert got[0] == got[1] and all(got[0])
+
+
+def test_frequent_counts_are_those_of_the_histogram(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    seqs = ["".join(r.choice(list("ACGTN"), 400, p=[0.4, 0.3, 0.15, 0.1, 0.05])) for _ in range(40)] + ["A" * 300, "ACG", ""]
+    df = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string")
+    seen = []
+    counted = km.coded_counts
+    monkeypatch.setattr(km, "coded_counts", lambda s, key, k, wanted=None: seen.append(wanted) or counted(s, key, k, wanted))
+    every = sorted(tuple(x) for x in counted(df, "seq_id", 6).collect())
+    for least in (2, 9, 1 << 15):
+        got = sorted(tuple(x) for x in km.frequent_counts(df, "seq_id", 6, least).collect())
+        assert got == [x for x in every if x[1] >= least]
+    # k-mers of buckets that hold too few are not counted one by one
+    assert all(seen) and not seen[-1](np.arange(4**6, dtype=np.uint64)).any()
+
+
+def test_window_minima_of_32_bits():
+    """A k-mer whose product is the largest of 32 bits is a minimum like any other; windows without a valid k-mer have none."""
+    data = np.frombuffer(b"ACGTTGCAAC" + b"N" * 12 + b"GGATCCATGA", np.uint8)
+    row, pos, at, least = codes.window_minima(data, np.array([0, 10, 32]), np.zeros(0, np.uint64), 4, 8, [1, 0xFFFFFFFF])
+    hashes = {i: int(codes.hash32(data[i : i + 4][None])[0]) for i in range(29) if b"N" not in data[i : i + 4].tobytes()}
+    expected = [(r, p) for r, n, first in ((0, 10, 0), (1, 22, 10)) for p in range(n - 7) if any(first + p + j in hashes for j in range(5))]
+    assert list(zip(row.tolist(), pos.tolist(), strict=True)) == expected
+    for a, m in zip((1, 0xFFFFFFFF), least, strict=True):
+        assert m.tolist() == [min(hashes[i + j] * a % (1 << 32) for j in range(5) if i + j in hashes) for i in at.tolist()]
