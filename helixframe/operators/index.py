@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from helixframe.functions import codes, sequence as sq
 from helixframe.operators import kmers as km, sketch as sk
 from helixframe.params import AlignParams
+from helixframe.sources.shared import written
 
 
 def informative_windows(seqs: DataFrame, p: AlignParams) -> DataFrame:
@@ -50,7 +51,11 @@ def compacted(rows: DataFrame, by: str = "proj") -> DataFrame:
 def build(seqs: DataFrame, hist: DataFrame, p: AlignParams, by: str = "proj") -> DataFrame:
     """The index over informative windows with a valid k-mer; a worker that has a whole sequence gives its runs."""
     sent = km.sent_codes(hist, p.max_count, p.k)
-    coefficients, tables, weights = p.minhash_coefficients(), p.projections(), p.projection_coefficients()
+    tables, weights = p.projections(), p.projection_coefficients()
+    # only coordinates that a table takes
+    used = sorted({i for idx in tables for i in idx})
+    coefficients = [p.minhash_coefficients()[i] for i in used]
+    tables = [[used.index(i) for i in idx] for idx in tables]
 
     def kernel(data, offsets):
         row, pos, at, least = codes.window_minima(data, offsets, sent.value, p.k, p.w, coefficients)
@@ -84,10 +89,13 @@ def bucket_sizes(index: DataFrame) -> DataFrame:
 
 
 def probe(reads: DataFrame, index: DataFrame, p: AlignParams) -> DataFrame:
-    """rid, rc, tbl, seq_id, pos, len: entries with a read's projection; buckets over the cap give nothing."""
-    fits = bucket_sizes(index).where(F.col("size") <= p.bucket_cap).select("tbl", "bucket")
-    asked = sk.projected(reads, ["rid", "rc"], p, "sig")
-    return asked.join(index.join(fits, ["tbl", "bucket"], "left_semi"), ["tbl", "bucket", "proj"]).select("rid", "rc", "tbl", "seq_id", "pos", "len")
+    """rid, rc, tbl, seq_id, pos, len: entries with a read's projection; buckets over the cap give nothing. Only buckets that a
+    read asks for are counted."""
+    asked = written(sk.projected(reads, ["rid", "rc"], p, "sig"), "asked")
+    near = index.join(asked.select("tbl", "bucket").distinct(), ["tbl", "bucket"], "left_semi")
+    fits = near.groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= p.bucket_cap).select("tbl", "bucket")
+    hits = index.join(asked, ["tbl", "bucket", "proj"])
+    return hits.join(fits, ["tbl", "bucket"], "left_semi").select("rid", "rc", "tbl", "seq_id", "pos", "len")
 
 
 def islands(hits: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import codes, sequence as sq
-from helixframe.sources.shared import ship
+from helixframe.sources.shared import ship, written
 
 
 def derived(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -28,6 +28,14 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(docs, "doc_id", "text").withColumnRenamed("key", "seq_id")
 
 
+def stored_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """references() dealt over tasks and stored. A table may be one file of one row group, which one task reads whatever its size;
+    kernels over whole sequences would then run in that task alone, and each step would derive the sequences again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", "text")
+    many = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("doc_id", F.length("text")))
+    return written(derived(many, "doc_id", "text").withColumnRenamed("key", "seq_id"), "refs")
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text is not null")
     return derived(items, "item_id", "text").withColumnRenamed("key", "rid")

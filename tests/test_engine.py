@@ -7,9 +7,10 @@ from dataclasses import replace
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.functions import codes
-from helixframe.operators import index as ix, kmers as km, stats
+from helixframe.operators import index as ix, kmers as km, sketch as sk, stats
 from helixframe.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +106,31 @@ def test_window_minima_of_32_bits():
     assert list(zip(row.tolist(), pos.tolist(), strict=True)) == expected
     for a, m in zip((1, 0xFFFFFFFF), least, strict=True):
         assert m.tolist() == [min(hashes[i + j] * a % (1 << 32) for j in range(5) if i + j in hashes) for i in at.tolist()]
+
+
+def test_one_file_is_dealt_to_all_tasks(spark, tmp_path):
+    """A table of one file and one row group must not leave all windows to one task."""
+    text = "concat_ws(' ', transform(sequence(1, 10), i -> sha2(concat(id, ' ', i), 256))) as text"
+    spark.range(300).selectExpr("id as doc_id", text).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(3).selectExpr("id as item_id", text).coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = queries.Data(spark, str(tmp_path))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+        parts = d.index().select("seq_id", F.spark_partition_id().alias("part")).distinct().groupBy("part").count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == 300
+
+
+def test_only_asked_buckets_are_counted(spark):
+    """Buckets over the cap give nothing; the size counts all entries of a bucket, those of other projections included."""
+    p = replace(queries.P, bucket_cap=3)
+    reads = spark.createDataFrame([(1, 0, 40, list(range(100, 108)))], "rid long, rc int, n_valid long, sig array<long>")
+    asked = sk.projected(reads, ["rid", "rc"], p, "sig").orderBy("tbl").collect()
+    rows = []
+    for a, same, others in zip(asked, (1, 2, 3, 4), (2, 2, 0, 0), strict=True):
+        rows += [(a.tbl, a.bucket, a.proj, i, 0, 1) for i in range(same)] + [(a.tbl, a.bucket, a.proj ^ 1, i, 9, 1) for i in range(others)]
+    rows += [(0, -5, 1, i, 0, 1) for i in range(50)]
+    index = spark.createDataFrame(rows, "tbl int, bucket int, proj long, seq_id long, pos long, len long")
+    assert Counter(r.tbl for r in ix.probe(reads, index, p).collect()) == {0: 1, 2: 3}
