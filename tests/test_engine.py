@@ -1,6 +1,7 @@
 """Every engine query against independent SQL in a second engine."""
 
 import hashlib
+import time
 from collections import Counter
 from dataclasses import replace
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import codes
-from helixframe.operators import index as ix, kmers as km, sketch as sk, stats
+from helixframe.operators import chaining, index as ix, kmers as km, sketch as sk, stats
 from helixframe.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
@@ -134,3 +135,28 @@ def test_only_asked_buckets_are_counted(spark):
     rows += [(0, -5, 1, i, 0, 1) for i in range(50)]
     index = spark.createDataFrame(rows, "tbl int, bucket int, proj long, seq_id long, pos long, len long")
     assert Counter(r.tbl for r in ix.probe(reads, index, p).collect()) == {0: 1, 2: 3}
+
+
+def test_chains_of_many_fragments(spark):
+    """The heaviest chains are those of a plain search; a task of some thousand fragments ends in seconds."""
+    r = np.random.default_rng(9)
+    rows = [(t, 0, 5, 100, *x) for t in range(20) for x in sorted({(int(a), int(b)): (int(a), int(b), int(n)) for a, b, n in zip(r.integers(0, 60, 30), r.integers(0, 90, 30), r.integers(2, 9, 30), strict=True)}.values())]
+    parts = spark.createDataFrame(rows, "rid long, rc int, seq_id long, start long, rpos long, cpos long, n long").repartition(3, "rpos")
+    want = []
+    for t in range(20):
+        own, score, first = [x[4:] for x in rows if x[0] == t], [], []
+        for i, (a, b, n) in enumerate(own):
+            best, head = 0, b - a
+            for j, (x, y, m) in enumerate(own[:i]):
+                s = score[j] - 2 - 10 * abs((b - a) - (y - x))
+                if x + m <= a and y + m <= b and s > best:
+                    best, head = s, first[j]
+            score.append(5 * n + best)
+            first.append(head)
+        at = score.index(max(score))
+        want.append((t, 0, 5, 100, score[at], first[at]))
+    assert sorted(map(tuple, chaining.best_chain(parts).collect())) == want
+    n = 4000
+    began = time.time()
+    assert chaining.heaviest(np.arange(n) * 3, np.arange(n) * 3, np.full(n, 3)) == (15 * n - 2 * (n - 1), 0)
+    assert time.time() - began < 20
