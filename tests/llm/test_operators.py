@@ -215,6 +215,27 @@ def test_equal_runs_of_fuzzy_copies(spark):
     assert {w for d, _, s, e, _, _ in got if d == 5 for w in range(s, e)} == set(range(2, 302)) and len(got) < 20
 
 
+def test_pairs_in_rounds(spark, monkeypatch):
+    """Pairs grow faster than the input: seeds are sent in parts, texts go in rounds of bounded size. All pairs, each once."""
+    sd = substring_dedup
+    stored, of = [], sd.written
+    monkeypatch.setattr(sd, "written", lambda df, label="t", *a: stored.append(label) or of(df, label, *a))
+    monkeypatch.setattr(sd, "SENT_BYTES", 1500)
+    monkeypatch.setattr(sd, "ROW_DOCS", 2)
+    seeds = [(h, d, np.int32(h).tobytes()) for d in range(9) for h in range(60)]
+    held = spark.createDataFrame(seeds, "h long, cdoc long, cpos binary").coalesce(2)
+    pairs = sd.possible(held.where("cdoc > 3").toDF("h", "doc", "dpos"), held)
+    want = [(d, c) for d in range(4, 9) for c in range(d)]
+    assert rows(pairs, "doc", "cdoc") == want and stored.count("pairs") > 2
+    monkeypatch.setattr(sd, "ROUND_LETTERS", 1)
+    monkeypatch.setattr(sd, "ROUND_SHARE", 3.0)
+    once = spark.createDataFrame([(d, "x" * 100) for d in range(9)], "doc long, text string").coalesce(2)
+    parts = sd.in_rounds(pairs, once, "round", lambda part: part)
+    # 30 pairs carry 60 texts of 100 letters, 2,700 of which fit one round
+    assert len(parts) == 3 and rows(sd.united(parts[0], parts[1:]), "doc", "cdoc") == want
+    assert len({d for x in parts for d in {r["doc"] for r in x.collect()}}) == sum(len({r["doc"] for r in x.collect()}) for x in parts)
+
+
 def test_telling_seeds_meet_every_possible_pair():
     """Documents of 60 words; one seed is held by all, and pairs that share only such seeds need not meet."""
     sd, r = substring_dedup, np.random.default_rng(3)
